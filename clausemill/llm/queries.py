@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm import covertree, decontam, langid, licenses, packing, secrets, simhash, substrings, warc
+from clausemill.llm import covertree, decontam, langid, licenses, packing, pagediff, secrets, simhash, substrings, warc
 from clausemill.llm.shared import table
 
 
+def op1_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
