@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,3 +30,24 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`, else the context's checkpoint folder, else (local masters, as in tests) a folder removed at exit."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="clausemill-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{root}")
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; where that is a local or mounted folder, what is there is removed at exit."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if path.startswith(("/", "file:")):
+        atexit.register(shutil.rmtree, "/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return path

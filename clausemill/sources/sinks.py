@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.ship import shared_path
+
 FORMATS = ("text", "json", "markdown")
 
 
@@ -25,11 +27,15 @@ def json_rows(sentences: DataFrame, keys: list[str]) -> DataFrame:
 def markdown_rows(sentences: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """n, value: "n. sentence", numbered over all texts in order.
 
-    Numbers come from a range sort, counts of its partitions and a row number inside each, so no task holds all rows.
+    Numbers come from a range sort that is written to the shared folder with its partition numbers (planned anew they
+    could differ), counts of these partitions, and a row number inside each: no task holds all rows.
     """
     sorts = [*order, "idx"]
     ranged = sentences.repartitionByRange(partitions, *sorts) if partitions else sentences.repartitionByRange(*sorts)
+    spark, path = sentences.sparkSession, shared_path(sentences.sparkSession, "numbered")
     placed = ranged.select(*sorts, "text", F.spark_partition_id().alias("_part"))
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
     counts = placed.groupBy("_part").count()  # a row for each partition
     before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     n = F.row_number().over(Window.partitionBy("_part").orderBy(*sorts)) + F.col("_before")
