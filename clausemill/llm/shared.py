@@ -2,31 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`, else the context's checkpoint folder, else (tests) a folder that is removed at exit."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="clausemill-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(f"file://{root}")
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+from clausemill.ship import map_arrow, shared_path, shared_root
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -51,21 +29,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for a context: they need not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_clausemill_shipped", False):
-        return
-    context._clausemill_shipped = True
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="clausemill-ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/clausemill.zip", "w") as out:
-        for p in sorted(top.rglob("*.py")):
-            out.write(p, str(p.relative_to(top.parent)))
-    context.addPyFile(f"{folder}/clausemill.zip")
-
-
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+__all__ = ["discard", "map_arrow", "saved", "shared_path", "shared_root", "table"]
