@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm import covertree, decontam, langid, licenses, packing, pagediff, secrets, simhash, substrings, warc
+from clausemill.llm import covertree, decontam, langid, licenses, oracle, packing, pagediff, secrets, simhash, substrings, warc
 from clausemill.llm.shared import table
 
 
@@ -59,9 +59,21 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_length_buckets": oracle.packing(),
+        "op4_zstd_warc": oracle.warc(),
+        "op7_secret_ledger": oracle.secrets(),
+        "op8_window_dedup": oracle.windows(),
+        "op9_cover_tree": oracle.vectors(),
+    }

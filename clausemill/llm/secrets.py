@@ -99,6 +99,8 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     unseen = versions.groupBy("blob").agg(F.min("key").alias("key")).join(ledger.select("blob"), "blob", "left_anti")
     # One row of each unseen blob; only narrow rows are built into a hash table, and a few new blobs are broadcast by AQE.
     texts = addressed.select("blob", "key", "text").join(unseen.hint("shuffle_hash"), ["blob", "key"], "left_semi")
+    # A column that is not deterministic keeps the optimizer from scanning all texts before the join.
+    texts = texts.select("blob", "text", F.monotonically_increasing_id().alias("row"))
     found = scan_texts(texts.select("blob", "text"), rules)
     entries = unseen.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array()).alias("spans"))
     path = ledger_path or shared_path(spark, "secret-ledger")
