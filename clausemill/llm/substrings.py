@@ -168,7 +168,7 @@ def settle(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[gone], tags[gone], at[gone]
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, run_bytes: int = 6_000_000, bucket_windows: int = 1_500_000, group_bytes: int = 24_000_000, exact_windows: int = 1 << 29) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, run_bytes: int = 2_500_000, bucket_windows: int = 1_500_000, group_bytes: int = 24_000_000, exact_windows: int = 1 << 29) -> DataFrame:
     """(id_col, n_words, n_removed, kept, kept_sha256, intervals), a row for each row of docs; ids are integers.
 
     intervals: the maximal removed runs of words, [first, end). bucket_windows and group_bytes bound what a task holds.
