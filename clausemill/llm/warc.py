@@ -166,7 +166,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             for page, url, text, ref in zip(*(batch.column(c) for c in ("page", "url", "payload", "first")), strict=True):
                 if out is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.zst"
-                    out, n, size = where.open_output_stream(path), 0, 0
+                    out, n, size = where.open_output_stream(path, compression=None), 0, 0
                     out.write(leading_frame(held) if len(held) >= 8 else b"")
                 frame = pack.compress(record(page.as_py(), url.as_py(), text.as_py().encode(), ref.as_py()))
                 out.write(frame)
@@ -191,7 +191,7 @@ def read(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
         where, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path, expected in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
-                with where.open_input_stream(path) as f:
+                with where.open_input_stream(path, compression=None) as f:
                     data = f.read()
                 n = 0
                 for part in _batches(data):
