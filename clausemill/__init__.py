@@ -2,6 +2,7 @@
 
 from clausemill.api import (
     Config,
+    ConfigBuilder,
     ProcessingMetadata,
     Processor,
     Sentence,
@@ -21,6 +22,7 @@ from clausemill.config import (
     EnclosurePair,
     ExceptionPattern,
     FastPattern,
+    Language,
     LanguageConfig,
     MetadataConfig,
     RegexPattern,
@@ -29,6 +31,6 @@ from clausemill.config import (
     TerminatorConfig,
     TerminatorPattern,
 )
-from clausemill.errors import ConfigurationError, InvalidLanguageError, ProcessingError, SegmentationError
+from clausemill.errors import ConfigurationError, InvalidInputError, InvalidLanguageError, ProcessingError, SegmentationError, UnsupportedError
 
 __version__ = "0.1.0"

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
-from clausemill.config import REACH, LanguageConfig, bundled, supported_languages
+from clausemill.config import REACH, LanguageConfig, bundled, resolve_code, supported_languages
 from clausemill.errors import ConfigurationError, InvalidLanguageError
 from clausemill.kernel import Rules, trimmed
 from clausemill.sources.readers import ENCODINGS, stream_text_of, text_of
@@ -189,6 +189,22 @@ class SentenceSplitter:
         stats = {"bytes_processed": len(text.encode()), "chars_processed": len(text), "sentence_count": n, "avg_sentence_length": len(text) / n if n else 0.0, "strategy_used": "sequential", "chunks_processed": 1, "duration": time.perf_counter() - began}
         return list(zip(byte_sizes(text, places), places, strict=True)), stats
 
+    @classmethod
+    def with_config(cls, config: Config) -> SentenceSplitter:
+        return cls(language=resolve_code(config.language), threads=config.threads, chunk_kb=max(1, config.chunk_size // 1024))
+
+    @classmethod
+    def with_language(cls, code: str) -> SentenceSplitter:
+        """Any name of a bundled language."""
+        return cls(language=resolve_code(code))
+
+    def process_stream(self, reader: Any, encoding: str = "utf-8") -> tuple[list[tuple[int, int]], dict[str, Any]]:
+        """`process` of all that a reader gives."""
+        return self.process(reader, encoding)
+
+    def config(self) -> Config:
+        return Config(self._language if self._language in supported_languages() else "en", self.chunk_kb * 1024, self.threads)
+
     @property
     def language(self) -> str:
         return self._language
@@ -229,6 +245,10 @@ class Config:
             raise ConfigurationError("threads must be 1 or more")
         bundled(self.language)
 
+    @staticmethod
+    def builder() -> ConfigBuilder:
+        return ConfigBuilder()
+
     @classmethod
     def small_text(cls) -> Config:
         return cls(chunk_size=8 * 1024)
@@ -248,4 +268,26 @@ class Config:
         return 1 if size < 256 * 1024 else min(size // (256 * 1024), os.cpu_count() or 1)
 
 
-__all__ = ["Config", "Feeder", "ProcessingMetadata", "Processor", "Sentence", "SentenceIterator", "SentenceSplitter", "iter_split", "load", "split", "split_large_file", "supported_languages"]
+class ConfigBuilder:
+    """Options one by one; errors, also of the language, come with build()."""
+
+    def __init__(self) -> None:
+        self._options: dict[str, Any] = {}
+
+    def language(self, code: str) -> ConfigBuilder:
+        self._options["language"] = code
+        return self
+
+    def chunk_size(self, size: int) -> ConfigBuilder:
+        self._options["chunk_size"] = size
+        return self
+
+    def threads(self, n: int | None) -> ConfigBuilder:
+        self._options["threads"] = n
+        return self
+
+    def build(self) -> Config:
+        return Config(**self._options)
+
+
+__all__ = ["Config", "ConfigBuilder", "Feeder", "ProcessingMetadata", "Processor", "Sentence", "SentenceIterator", "SentenceSplitter", "iter_split", "load", "split", "split_large_file", "supported_languages"]

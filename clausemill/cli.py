@@ -78,10 +78,7 @@ def _parser() -> argparse.ArgumentParser:
 def _rules(path: str | None, code: str | None, language: str | None) -> Rules:
     if not path:
         return Rules.of(language or "en")
-    config = LanguageConfig.from_toml(path)
-    if code:
-        config.metadata.code = code
-    return Rules(config)
+    return Rules(LanguageConfig.from_toml(path, code))
 
 
 def _process(a: argparse.Namespace) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tomllib
 from dataclasses import dataclass, field
+from enum import Enum
 from functools import cache
 from importlib import resources
 from pathlib import Path
@@ -131,12 +132,16 @@ class LanguageConfig:
     sentence_starters: SentenceStarterConfig | None = None
 
     @classmethod
-    def from_toml(cls, path: str | Path) -> LanguageConfig:
+    def from_toml(cls, path: str | Path, code: str | None = None) -> LanguageConfig:
+        """Rules from a file, valid; `code` stands in for the code that the file gives."""
         try:
             text = Path(path).read_text(encoding="utf-8")
         except OSError as e:
             raise ConfigurationError(f"cannot read {path}: {e}") from e
-        return cls.from_text(text)
+        config = cls.from_text(text)
+        if code:
+            config.metadata.code = code
+        return config
 
     @classmethod
     def from_text(cls, text: str) -> LanguageConfig:
@@ -254,6 +259,24 @@ def resolve_code(code: str) -> str:
     raise InvalidLanguageError(f"unknown language {code!r}; there are {', '.join(CODES)}")
 
 
+class Language(Enum):
+    ENGLISH = "en"
+    JAPANESE = "ja"
+
+    @classmethod
+    def parse(cls, name: str) -> Language:
+        """By any of its names; InvalidLanguageError for an unknown one."""
+        return cls(resolve_code(name))
+
+    @classmethod
+    def from_code(cls, name: str) -> Language:
+        """By any of its names; English for an unknown one."""
+        try:
+            return cls.parse(name)
+        except InvalidLanguageError:
+            return cls.ENGLISH
+
+
 @cache
 def bundled(code: str) -> LanguageConfig:
     known = resolve_code(code)

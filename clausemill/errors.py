@@ -15,3 +15,11 @@ class ProcessingError(SegmentationError):
 
 class ConfigurationError(SegmentationError):
     """Rules or options that cannot work."""
+
+
+class InvalidInputError(ProcessingError):
+    """An input that cannot be decoded, such as bytes that its encoding does not have."""
+
+
+class UnsupportedError(SegmentationError):
+    """Something that this package does not offer."""

@@ -78,6 +78,8 @@ class Rules:
         asymmetric = symmetric = 0
         for pair in config.enclosures.pairs:
             a, b = pair.open[:1], pair.close[:1]
+            if not a or not b:
+                continue
             if pair.symmetric:
                 if symmetric >= 32:
                     raise ConfigurationError("more than 32 symmetric enclosures")

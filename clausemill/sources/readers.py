@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.errors import ProcessingError
+from clausemill.errors import InvalidInputError
 
 #: Encodings of whole inputs, by the names they answer to.
 ENCODINGS = {"utf-8": "UTF-8", "utf8": "UTF-8", "ascii": "US-ASCII", "us-ascii": "US-ASCII", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1"}
@@ -60,7 +60,7 @@ def decoded(raw: bytes, encoding: str = "utf-8") -> str:
     try:
         return raw.decode(name)
     except UnicodeDecodeError as e:
-        raise ProcessingError(f"cannot decode as {encoding}: {e}") from e
+        raise InvalidInputError(f"cannot decode as {encoding}: {e}") from e
 
 
 def text_of(source: Any, encoding: str = "utf-8") -> str:

@@ -87,3 +87,17 @@ def test_command_line(tmp_path, capsys):
     assert main(["validate", "-c", str(tmp_path / "x.toml")]) == 0
     assert main(["process", "-i", str(tmp_path / "none*"), "-q"]) == 1
     assert main(["list", "formats"]) == 0
+
+
+def test_options_and_languages():
+    config = clausemill.Config.builder().language("english").chunk_size(8192).threads(2).build()
+    assert clausemill.SentenceSplitter.with_config(config).language == "en" and config.parts(1) == 2
+    assert clausemill.Config().parts(10) == 1 and clausemill.Config.streaming().threads == 2
+    with pytest.raises(clausemill.InvalidLanguageError):
+        clausemill.Config.builder().language("xx").build()
+    with pytest.raises(clausemill.ConfigurationError):
+        clausemill.Config(chunk_size=0)
+    assert clausemill.Language.from_code("xx") is clausemill.Language.ENGLISH and clausemill.Language.parse(" JPN ") is clausemill.Language.JAPANESE
+    with pytest.raises(clausemill.InvalidInputError):
+        clausemill.split(b"\xff")
+    assert clausemill.SentenceSplitter.with_language("jpn").process_stream(io.StringIO("はい。"))[0] == [(9, 3)]
