@@ -5,10 +5,10 @@ paired with the neighbour whose path shares the longer start with its own (ties:
 are aligned by their longest common subsequence, and lines that both share are template and are deleted, unless markup
 says that they are the article. Lines that only this page has are kept unless markup says that they are not.
 
-Markup speaks through a role: `article` (inside <article>, <main> or role=main, and in no part named below), `furniture`
-(inside <nav>, <header> outside the article, <footer>, <aside>, <form>, or parts whose class, id or role names a menu,
-sidebar, notice, advert, comments and the like), or `open` (neither). Pages that have an article give their article
-lines. Differencing decides the open lines, and so all of the text of pages without an article.
+Markup speaks through a role: `article` (inside <article>), `main` (inside <main> or role=main), `furniture` (inside
+<nav>, <header> outside the article, <footer>, <aside>, <form>, or parts whose class, id or role names a menu, sidebar,
+notice, advert, comments and the like), or `open` (none of these). Pages that have an article give its lines. Other pages
+give their main lines, or if they have none their open lines, and there differencing decides.
 
 Cases: null and empty pages, and pages without text, give an empty text; null or odd URLs count as host '' with the URL
 as path; a page with the same lines throughout (a copy) is not compared with, so a copy deletes nothing; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
@@ -38,24 +38,33 @@ FURNITURE = frozenset("nav footer aside form menu dialog search".split())
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 #: Words in a class, id or role that mark a part as no article text.
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertisements|advertising|adsense|banner|banners|sponsor|sponsored|promo|promos|promotion|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|sidebar|sidebars|aside|widget|widgets|related|recommended|recommendations|share|sharing|social|follow|newsletter|subscribe|subscription|signup|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|paywall|comment|comments|commentlist|reply|replies|respond|discussion|disqus|footer|header|masthead|toolbar|pagination|pager|search|login|skip|copyright|legal|disclaimer|toc|hidden|complementary|contentinfo|dialog)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertisements|advertising|adsense|banner|banners|sponsor|sponsored|promo|promos|promotion|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|sidebar|sidebars|aside|widget|widgets|related|recommended|recommendations|share|sharing|social|follow|newsletter|subscribe|subscription|signup|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|paywall|comment|comments|commentlist|reply|replies|respond|discussion|disqus|footer|toolbar|pagination|pager|search|login|copyright|legal|disclaimer|toc|hidden|complementary|contentinfo|dialog)(?:$|[\s_-])"
     r"|(?:^|\s)(?:comments?-|ad-|ads-|side-?bar)", re.I)
+#: The same for names that an article's own title part may have.
+TOPS = re.compile(r"(?:^|[\s_-])(?:header|masthead|top-?bar|skip)(?:$|[\s_-])", re.I)
+#: Parts that hold articles of readers.
+READERS = re.compile(r"comment|repl(?:y|ies)|respond|discussion|disqus", re.I)
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)([^>]*)>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
-ARTICLE, OPEN, OFF = 2, 1, 0
+ARTICLE, MAIN, OPEN, NAMED_OFF, OFF = 4, 3, 2, 1, 0
 
 
-def _named(attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes mark a part as furniture, and as the main part."""
-    off = main = False
+def _named(attributes: str, inside: bool) -> tuple[int | None, bool]:
+    """The role of a part that its attributes mark as furniture (None: not marked), and whether they mark the main part."""
+    role: int | None = None
+    main = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id", "role") and value:
-            off |= bool(NAMED.search(value))
-            main |= name == "role" and value.lower() == "main"
-        off |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)))
-    return off, main
+        if name in ("class", "id", "role") and value and role is None:
+            if READERS.search(value) and NAMED.search(value):
+                role = OFF
+            elif NAMED.search(value) or (not inside and TOPS.search(value)):
+                role = NAMED_OFF
+        main |= name == "role" and value.lower() == "main"
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            role = OFF
+    return role, main
 
 
 def lines(page: str) -> list[tuple[int, str]]:
@@ -102,12 +111,17 @@ def lines(page: str) -> list[tuple[int, str]]:
         if name in VOID:
             continue
         attributes = (m[3] or m[6] or "").strip(" /")
-        off, main = _named(attributes) if attributes and name not in ("body", "html") else (False, False)
+        off, main = _named(attributes, role == ARTICLE) if attributes and name not in ("body", "html") else (None, False)
         inner = role
-        if name in FURNITURE or (name == "header" and role != ARTICLE) or off:
+        if name in FURNITURE or (name == "header" and role != ARTICLE):
             inner = OFF
-        elif role == OPEN and (name in ("article", "main") or main):
-            inner = ARTICLE
+        elif off is not None:
+            inner = min(role, off)
+        elif role != OFF and name == "article":
+            # Names of a layout, as "has-sidebar", do not hide an article; a second one in a named part is no more of it.
+            inner = ARTICLE if role != NAMED_OFF or not any(r == ARTICLE for r, _ in out) else role
+        elif role in (OPEN, NAMED_OFF) and (name == "main" or main):
+            inner = MAIN
         if inner != role:
             close()
         stack.append((name, inner))
@@ -178,7 +192,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     host, path = place(url)
                     hashes = np.array([xxhash.xxh64_intdigest(t) for _, t in found], np.uint64)
                     roles = bytes(r for r, _ in found)
-                    body = ARTICLE if ARTICLE in roles else OPEN
+                    body = max(roles, default=OPEN)
                     text = "\n".join(t for r, t in found if r == body)  # a line has no line feed
                     rows.append((host, path, hashes.tobytes(), roles, xxhash.xxh64_intdigest(hashes.tobytes()) >> 1, squeeze.compress(text.encode())))
                 if rows:
@@ -210,14 +224,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def main_text(host: str, path: str, sign: int, hashes: bytes, roles: bytes, body: bytes, before: dict | None, after: dict | None) -> str:
-    """Lines that are left, joined by one space; body has the article's lines, or the open ones of a page without an article."""
+    """Lines that are left, joined by one space; body has the lines of the page's highest role."""
     text = zstandard.ZstdDecompressor().decompress(body).decode()
-    if ARTICLE in roles or not text:
+    top = max(roles, default=OFF)
+    if top < OPEN:
+        return ""
+    if top == ARTICLE or not text:
         return text.replace("\n", " ")
     near = [x for x in (before, after) if x and x["host"] == host and x["sign"] != sign]
     if not near:
         return text.replace("\n", " ")
     best = max(near, key=lambda x: _starts_alike(path, x["path"]))
     shared = common_lines(np.frombuffer(hashes, np.uint64), np.frombuffer(best["hashes"], np.uint64))
-    is_open = np.frombuffer(roles, np.uint8) == OPEN
-    return " ".join(t for t, gone in zip(text.split("\n"), shared[is_open], strict=True) if not gone)
+    mine = np.frombuffer(roles, np.uint8) == top
+    return " ".join(t for t, gone in zip(text.split("\n"), shared[mine], strict=True) if not gone)

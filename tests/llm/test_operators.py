@@ -357,6 +357,23 @@ def test_blocks_of_pages():
     assert [t for _, t in pagediff.lines("<article><p>a<script>x</article><p>b")] == ["a"]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="layout has-sidebar"><article><div class="entry-header"><h1>T</h1></div><p>x</p></article><div class="sidebar">s</div></div>', "T x"),
+        ('<main><div class="breadcrumbs">b</div><article><p>x</article><p>other</main>', "x"),
+        ('<div class="header">h</div><main><h1>T</h1><p>x<div class="share">s</div></main><footer>f</footer>', "T x"),
+        ('<article><p>x</article><section class="comments"><article><p>reader</article></section>', "x"),
+        ("<p>x<p hidden>y<p style='display: none'>z", "x"),
+        ("<nav>only</nav>", ""),
+    ],
+)
+def test_roles(page, text):
+    found = pagediff.lines(page)
+    top = max([r for r, _ in found if r >= pagediff.OPEN], default=None)
+    assert " ".join(t for r, t in found if r == top) == text
+
+
 def test_longest_common_subsequence():
     rng = random.Random(10)
     for _ in range(300):
