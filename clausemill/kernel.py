@@ -42,7 +42,9 @@ def trimmed(text: str) -> str:
 
 
 def _lowered(text: str) -> str:
-    return "".join(c.lower()[:1] for c in text) if not text.isascii() else text.lower()
+    """Each character by the first of its lower-case form; whole strings differ where that has two or depends on its place."""
+    low = text.lower()
+    return low if len(low) == len(text) and "Σ" not in text else "".join(c.lower()[:1] for c in text)
 
 
 @dataclass
@@ -71,6 +73,7 @@ class Rules:
         longest = max(map(len, patterns + self.ellipses), default=0)
         if longest >= REACH:
             raise ConfigurationError(f"a pattern of {longest} characters does not fit into the window of {REACH}")
+        self.ellipsis_ends, self.pattern_ends = tuple(self.ellipses), tuple(patterns)
         self.terminators = frozenset(chars)
         self.pairs_ahead = frozenset(p for p in patterns if len(p) == 2)
         self.judged = frozenset("".join([*chars, *patterns, *self.ellipses]))
@@ -99,13 +102,15 @@ class Rules:
         words = [w for w in config.abbreviations.words() if w]
         self.abbreviations = frozenset(_lowered(w) for w in words if len(w) <= ABBREVIATION)
         self.lengths = sorted({len(w) for w in self.abbreviations}, reverse=True)
-        self.last = frozenset(w[-1] for w in self.abbreviations) | frozenset(w[-1].upper()[:1] for w in self.abbreviations)
+        self.tails = frozenset(w[-2:] for w in self.abbreviations)
+        self.ends_in_three = frozenset(w[-3:] for w in self.abbreviations if len(w) > 2)  # shorter ones begin no word after a letter
+        self.longest = self.lengths[0] if self.lengths else 0
+        self.usual = self._usual()
         starters = config.sentence_starters
         least = starters.min_word_length if starters else 1
         self.starters = frozenset(w for w in (starters.words() if starters else ()) if len(w.encode()) >= least)
         self.starter_space = starters.require_following_space if starters else True
         self.special = re.compile("[" + "".join(map(re.escape, sorted(self.judged | set(self.enclosures)))) + "]")
-        self.ellipsis_ends, self.pattern_ends = tuple(self.ellipses), tuple(patterns)
         self.run_continues = [(q[:i], q[i:]) for q in self.ellipses for i in range(len(q))]
 
     @classmethod
@@ -116,6 +121,18 @@ class Rules:
     def zero(self) -> tuple[int, ...]:
         return (0,) * self.n_depths
 
+    def _usual(self) -> dict[str, tuple[int, frozenset[str]]]:
+        """Marks whose judgment after three ASCII letters follows from the next character, if no abbreviation may end there.
+
+        For each its strength and the next characters that need the whole judge. A mark is not among them if a longer
+        pattern could end with it after a letter.
+        """
+        out = {}
+        for c in self.terminators & set(".。!?！？"):
+            if not any(p[-1] == c and (len(p) == 1 or p[-2].isalpha()) for p in (*self.ellipses, *self.pattern_ends)):
+                out[c] = (WEAK if c in ".。" else STRONG, frozenset({p[1] for p in self.pairs_ahead if p[0] == c} | ({"."} if c == "." else set())))
+        return out
+
     # The judge
 
     def judge(self, text: str, at: int) -> int:
@@ -181,9 +198,10 @@ class Rules:
 
     def _abbreviation(self, text: str, end: int, low: int) -> bool:
         """Whether the longest abbreviation that ends at `end` begins a word."""
-        if end == low or (text[end - 1] not in self.last and (text[end - 1].isascii() or _lowered(text[end - 1]) not in self.last)):
+        two = _lowered(text[max(low, end - 2) : end])
+        if two not in self.tails and two[-1:] not in self.tails:
             return False
-        back = _lowered(text[max(low, end - ABBREVIATION) : end])
+        back = _lowered(text[max(low, end - self.longest) : end])
         for n in self.lengths:
             if n <= len(back) and back[-n:] in self.abbreviations:
                 return end - n <= low or not KIND[text[end - n - 1]] & _ALNUM
@@ -226,7 +244,7 @@ class Rules:
         depths, parity = list(self.zero), 0
         now = self.zero
         out = []
-        enclosures, judged, judge = self.enclosures, self.judged, self.judge
+        enclosures, judged, judge, usual, tails = self.enclosures, self.judged, self.judge, self.usual, self.ends_in_three
         for m in self.special.finditer(text, first, end):
             at = m.start()
             c = text[at]
@@ -238,7 +256,11 @@ class Rules:
                     depths[slot[1]] += slot[2]
                     now = tuple(depths)
             if c in judged:
-                strength = judge(text, at + 1)
+                word = text[at - 3 : at] if at > 2 and c in usual else ""
+                if word and word.isalpha() and word.isascii() and text[at + 1 : at + 2] not in usual[c][1] and word.lower() not in tails:
+                    strength = usual[c][0]
+                else:
+                    strength = judge(text, at + 1)
                 if strength:
                     out.append((at + 1 - first, now, parity, strength))
         return State(out, now, parity, end - first)
