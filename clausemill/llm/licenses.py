@@ -1,9 +1,10 @@
 """Licence scans by a positional index of rare tokens.
 
-Each template is a list of words; its phrases are short key passages that must occur. For a file, the licence words with
-the highest IDF (over all files) are looked up; their postings, (template, place in template), are intersected by
-relative position: postings of several rare words that imply the same start support a template there. A supported
-template is kept if its mandatory key phrases stand in the file.
+Each template is a list of words; its key phrases are short passages that must occur. Each template is filed under the
+word of its key phrases with the highest IDF over all files, so a file's rare licence words lead to all templates that it
+can hold and common words to none. The postings of a template's words, their places in it, are intersected by relative
+position: words that imply the same start support the template there. A supported template is kept if its key phrases
+stand in the file.
 
 Cases: null text counts as empty and has no words; repeated rows and equal texts get equal answers; an empty table gives
 an empty result; other columns are ignored; a text of any length is scanned whole.
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,7 +64,7 @@ TEMPLATES = (
 
 
 class Index:
-    """Postings of every template word, and the hash of each word."""
+    """The templates as word numbers, their places the postings, and the hash of each word."""
 
     def __init__(self, templates: tuple[Template, ...], seed: int = 0):
         self.templates = templates
@@ -74,16 +74,19 @@ class Index:
         of = {w: i for i, w in enumerate(self.vocabulary)}
         self.ids = [[of[w] for w in t] for t in self.texts]
         self.key_ids = [[[of[w] for w in k] for k in ks] for ks in self.keys]
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for t, ids in enumerate(self.ids):
-            for at, w in enumerate(ids):
-                self.postings[w].append((t, at))
         hashes = words(pa.array([" ".join(self.vocabulary)]), ALNUM).hashes(seed)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.seen = np.zeros(1 << 16, bool)
         self.seen[hashes >> np.uint64(48)] = True
 
+    def filed(self, rank: np.ndarray) -> dict[int, list[int]]:
+        """Templates by the rarest word of their key phrases."""
+        out: dict[int, list[int]] = {}
+        for t, keys in enumerate(self.key_ids):
+            out.setdefault(min((w for k in keys for w in k), key=lambda w: rank[w]), []).append(t)
+        return out
+
     def lookup(self, w) -> tuple[np.ndarray, np.ndarray]:
         """Places of the licence words among the words `w`, and their numbers in the vocabulary. Spelling is compared."""
         h = w.hashes()
@@ -137,10 +140,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", templates: tup
     return {r["word"]: r["n"] for r in rows}
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, rare: int = 12, support: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, support: float = 0.6) -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of docs.
 
-    rare: how many of a file's licence words, those of the highest IDF (ties by spelling), are looked up in the postings.
     support: the part of a template's words that must stand where its start implies. score: the best such part.
     """
     frequency = document_frequencies(docs, text_col, templates)
@@ -152,6 +154,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         index = Index(templates)
         rank = np.empty(len(index.vocabulary), np.int64)
         rank[sorted(range(len(rank)), key=lambda i: (-idf.get(index.vocabulary[i], 0.0), index.vocabulary[i]))] = np.arange(len(rank))
+        filed = index.filed(rank)
         for batch in batches:
             for part in pieces(batch, text_col):
                 w = words(part.column(text_col), ALNUM, lower=True)
@@ -161,7 +164,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 out = {"n_base": [0] * n, "first": [None] * n, "last": [None] * n, "base": [""] * n, "labels": [""] * n, "score": [0.0] * n}
                 for d in np.flatnonzero(np.diff(bounds) > 1):
                     here = slice(bounds[d], bounds[d + 1])
-                    found = match(index, rank, at[here] - w.first[d], ids[here], int(w.first[d + 1] - w.first[d]), rare, support)
+                    found = match(index, filed, rank, at[here] - w.first[d], ids[here], int(w.first[d + 1] - w.first[d]), support)
                     if found:
                         base, every, starts, out["score"][d] = found
                         out["n_base"][d], out["base"][d], out["labels"][d] = len(starts), ",".join(sorted(base)), ",".join(sorted(every))
@@ -187,20 +190,13 @@ class _Places(dict):
         return self[w]
 
 
-def match(index: Index, rank: np.ndarray, at: np.ndarray, ids: np.ndarray, n_words: int, rare: int, support: float):
-    """Base labels, all labels, base starts and the score of one text; None if no template is supported.
-
-    A template is a candidate by the rarest of its words that the file has among its own `rare` rarest. Templates whose
-    words all are outside those are reached through their own rarest word, so that no phrase is lost.
-    """
+def match(index: Index, filed: dict[int, list[int]], rank: np.ndarray, at: np.ndarray, ids: np.ndarray, n_words: int, support: float):
+    """Base labels, all labels, base starts and the score of one text; None if no template is supported."""
     present = np.unique(ids)
-    chosen = set(present[np.argsort(rank[present])][:rare].tolist())
     have = set(present.tolist())
     where = _Places(at, ids)
     base, every, starts, score = set(), set(), [], 0.0
-    candidates = {t for w in chosen for t, _ in index.postings[w]}
-    candidates |= {t for t, t_ids in enumerate(index.ids) if index.templates[t].base and have.issuperset(t_ids)}
-    for t in sorted(candidates):
+    for t in sorted(t for w in present[np.argsort(rank[present])].tolist() for t in filed.get(w, ())):
         t_ids, template = index.ids[t], index.templates[t]
         if template.base:
             if have.issuperset(t_ids):

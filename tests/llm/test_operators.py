@@ -63,6 +63,8 @@ def test_licences_of_the_method(spark, empty):
     assert got[2]["labels"] == "" and got[2]["score"] == 0.0
     assert got[3]["labels"] == "mit" and 0.6 <= got[3]["score"] < 1
     assert licenses.scan(empty).count() == 0
+    every = spark.createDataFrame([(1, " x ".join(t.text for t in licenses.TEMPLATES))], "doc_id long, text string")
+    assert licenses.scan(every).collect()[0]["labels"] == ",".join(sorted({t.label for t in licenses.TEMPLATES}))
 
 
 # 3
