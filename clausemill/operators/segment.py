@@ -1,8 +1,8 @@
 """Sentence operators over DataFrames of texts.
 
-Without a shuffle: each text is scanned where it lies, in Arrow batches. Texts longer than `giant` characters are cut
-into chunks with context on both sides, scanned apart, and their running sums added up by a window over chunk totals,
-so that no task owns a giant text. The result never depends on chunk size or partitioning.
+Without a shuffle: each text is scanned where it lies, in Arrow batches. On request texts longer than `giant` characters
+are cut into chunks with context on both sides, scanned apart, and their running sums added up by a window over chunk
+totals, so that no task owns a giant text; that reads the texts a second time. The result never depends on it.
 
 Null texts have no sentences.
 """
@@ -44,7 +44,7 @@ def byte_sizes(text: str, places: list[int]) -> list[int]:
     return out
 
 
-def sentences(df: DataFrame, keys: list[str], language: Language = "en", text_col: str = "text", preserve_whitespace: bool = False, giant: int | None = 4_000_000) -> DataFrame:
+def sentences(df: DataFrame, keys: list[str], language: Language = "en", text_col: str = "text", preserve_whitespace: bool = False, giant: int | None = None) -> DataFrame:
     """keys, idx, text, start, end, start_byte, end_byte: a row for each sentence, numbered from 0 in each text.
 
     start is the end of the sentence before, so it counts the white space that `text` is trimmed of.
@@ -67,16 +67,20 @@ def sentences(df: DataFrame, keys: list[str], language: Language = "en", text_co
                 texts += t
                 starts += s
                 ends += e
-                sizes = byte_sizes(text, sorted({*s, *e}))
-                at = dict(zip(sorted({*s, *e}), sizes, strict=True)) if sizes is not None else {}
-                first += [at[x] for x in s]
-                last += [at[x] for x in e]
+                if text.isascii():
+                    first += s
+                    last += e
+                else:
+                    places = sorted({*s, *e})
+                    at = dict(zip(places, byte_sizes(text, places), strict=True))
+                    first += [at[x] for x in s]
+                    last += [at[x] for x in e]
             long = lambda x: pa.array(x, pa.int64())
             yield _take(batch, keys, rows, [pa.array(idx, pa.int32()), pa.array(texts, pa.string()), long(starts), long(ends), long(first), long(last)], ["idx", "text", "start", "end", "start_byte", "end_byte"])
 
-    narrow = df.select(*keys, F.col(text_col))
     if text_col in keys:
         raise ValueError("the text cannot be its own key")
+    narrow = df.select(*keys, F.col(text_col))
     schema = _schema(df, keys, "idx int, text string, start long, end long, start_byte long, end_byte long")
     if giant is None:
         return map_arrow(narrow, run, schema)
