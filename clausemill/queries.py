@@ -220,7 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "catalyst_sentences": oracle.sentences(DOCS, en, "doc_id", columns='idx, text, start, "end"'),
         "chunked_invariance": oracle.boundaries(DOCS, en, "doc_id"),
         "giant_sentences": slices,
-        "conversation_sentences": f"SELECT split_part(key, ':', 1)::BIGINT AS conv_id, split_part(key, ':', 2)::INTEGER AS turn, idx, text FROM ({oracle.sentences(messages, en, 'key', columns='idx, text')})",
+        "conversation_sentences": f"SELECT split_part(key, ':', 1)::BIGINT AS conv_id, split_part(key, ':', 2)::BIGINT AS turn, idx, text FROM ({oracle.sentences(messages, en, 'key', columns='idx, text')})",
         "benchmark_sentences": oracle.sentences("SELECT item_id AS key, text FROM benchmark", en, "item_id"),
         "page_boundaries": oracle.boundaries("SELECT page_id AS key, html AS text FROM pages", en, "page_id"),
         "classified_chars": oracle.classified(DOCS, en),
