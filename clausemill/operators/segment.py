@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from clausemill.config import REACH, LanguageConfig
 from clausemill.kernel import Rules, trimmed
-from clausemill.ship import map_arrow
+from clausemill.ship import map_arrow, spread
 
 Language = str | LanguageConfig
 
@@ -80,7 +80,7 @@ def sentences(df: DataFrame, keys: list[str], language: Language = "en", text_co
 
     if text_col in keys:
         raise ValueError("the text cannot be its own key")
-    narrow = df.select(*keys, F.col(text_col))
+    narrow = spread(df.select(*keys, F.col(text_col)))
     schema = _schema(df, keys, "idx int, text string, start long, end long, start_byte long, end_byte long")
     if giant is None:
         return map_arrow(narrow, run, schema)
@@ -107,7 +107,7 @@ def boundaries(df: DataFrame, keys: list[str], language: Language = "en", text_c
                 strong += [s for _, s in found]
             yield _take(batch, keys, rows, [pa.array(chars, pa.int64()), pa.array(sizes, pa.int64()), pa.array(strong, pa.bool_())], ["char_offset", "offset", "is_strong"])
 
-    return map_arrow(df.select(*keys, text_col), run, _schema(df, keys, "char_offset long, offset long, is_strong boolean"))
+    return map_arrow(spread(df.select(*keys, text_col)), run, _schema(df, keys, "char_offset long, offset long, is_strong boolean"))
 
 
 def stats(df: DataFrame, keys: list[str], language: Language = "en", text_col: str = "text") -> DataFrame:
@@ -123,7 +123,7 @@ def stats(df: DataFrame, keys: list[str], language: Language = "en", text_col: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "sentence_count"])
 
     text = F.col(text_col)
-    narrow = df.select(*keys, text)
+    narrow = spread(df.select(*keys, text))
     counted = map_arrow(narrow, run, T.StructType([*narrow.schema.fields, T.StructField("sentence_count", T.LongType())]))
     n = F.col("sentence_count")
     chars = F.coalesce(F.length(text), F.lit(0)).cast("long")
@@ -167,7 +167,7 @@ def _states(parts: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
             held = pa.RecordBatch.from_pylist(out, pa.schema([("chunk", pa.int32()), ("first", pa.int64()), ("bytes", pa.int64()), ("depths", pa.list_(pa.int32())), ("parity", pa.int64()), ("found", pa.list_(pa.struct([("at", pa.int64()), ("byte", pa.int64()), ("depths", pa.list_(pa.int32())), ("parity", pa.int64())])))]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *held.columns], names=[*keys, *held.schema.names])
 
-    states = map_arrow(parts, run, T.StructType([parts.schema[k] for k in keys] + T._parse_datatype_string(kind).fields))
+    states = map_arrow(spread(parts), run, T.StructType([parts.schema[k] for k in keys] + T._parse_datatype_string(kind).fields))
     earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     depth = F.array(*[F.coalesce(F.sum(F.get("depths", F.lit(i))).over(earlier), F.lit(0)) for i in range(rules.n_depths)]) if rules.n_depths else F.array().cast("array<long>")
     return states.select("*", depth.alias("open"), F.coalesce(F.expr("bit_xor(parity)").over(earlier), F.lit(0)).alias("odd"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("before_bytes"))
@@ -216,7 +216,7 @@ def sentence_arrays(df: DataFrame, language: Language = "en", text_col: str = "t
             out = [None if (x := v.as_py()) is None else [{"text": t, "start": s, "end": e} for s, e, t in rules.slices(x)] for v in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, out_col])
 
-    return map_arrow(df, run, T.StructType([*df.schema.fields, *T._parse_datatype_string(f"{out_col} array<struct<text:string,start:long,end:long>>").fields]))
+    return map_arrow(spread(df), run, T.StructType([*df.schema.fields, *T._parse_datatype_string(f"{out_col} array<struct<text:string,start:long,end:long>>").fields]))
 
 
 def single(text: str, language: Language = "en") -> list[str]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from clausemill.config import REACH, LanguageConfig
 from clausemill.kernel import ABBREVIATION, ENCLOSURE, LINE, NEAR, SLICE_BYTES, Rules
 from clausemill.operators.segment import trim
+from clausemill.ship import spread
 
 #: Classes as the rules mean them.
 CLASSES = {"alpha": r"\p{IsAlphabetic}", "alnum": r"[\p{IsAlphabetic}\p{N}]", "digit": "[0-9]", "whitespace": r"\p{IsWhite_Space}"}
@@ -120,7 +121,7 @@ def suppressed(rules: Rules, left: Column, c: Column, right: Column) -> Column:
 def events(df: DataFrame, keys: list[str], language: str | LanguageConfig = "en", text_col: str = "text") -> DataFrame:
     """keys, k, piece, end_char, end_byte, c, is_boundary: a row for each piece of each text."""
     rules = Rules.of(language)
-    pieces = df.select(*keys, F.posexplode(F.split(text_col, f"(?<={special_class(rules)})", -1)).alias("k", "piece")).where("piece <> ''")
+    pieces = spread(df.select(*keys, text_col)).select(*keys, F.posexplode(F.split(text_col, f"(?<={special_class(rules)})", -1)).alias("k", "piece")).where("piece <> ''")
     run = Window.partitionBy(*keys).orderBy("k")
     so_far = run.rowsBetween(Window.unboundedPreceding, 0)
     join = lambda col, a, b: F.array_join(F.collect_list(col).over(run.rowsBetween(a, b)), "")

@@ -32,6 +32,20 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: An input that gives each core less than this is dealt out evenly before it is scanned.
+WAVE_BYTES = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input to all cores: a small file is often one row group, which one task would scan alone.
+
+    By the optimizer's size estimate; inputs of more than a wave of tasks, or of unknown size, stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) <= cores * WAVE_BYTES else df
+
+
 def shared_root(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`, else the context's checkpoint folder, else (local masters, as in tests) a folder removed at exit."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -51,7 +51,8 @@ def test_null_blank_and_stats(spark):
     assert found[1] is None and found[2] == [] and [x["text"] for x in found[4]] == ["Hé.", "Ho"]
 
 
-def test_no_shuffle_and_only_needed_columns(spark):
+def test_no_shuffle_and_only_needed_columns(spark, monkeypatch):
+    monkeypatch.setattr("clausemill.ship.WAVE_BYTES", 0)
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = segment.sentences(df, ["doc_id"], giant=None)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "source" not in plan.partition("ReadSchema")[2]
