@@ -97,11 +97,8 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     versions = saved(addressed.select("path_id", "key", "blob"), "secret-versions")
     ledger = _read_ledger(spark, ledger_path).where(F.col("rule_version") == version)
     unseen = versions.groupBy("blob").agg(F.min("key").alias("key")).join(ledger.select("blob"), "blob", "left_anti")
-    # One row of each unseen blob; only narrow rows are built into a hash table, and a few new blobs are broadcast by AQE.
-    texts = addressed.select("blob", "key", "text").join(unseen.hint("shuffle_hash"), ["blob", "key"], "left_semi")
-    # A column that is not deterministic keeps the optimizer from scanning all texts before the join.
-    texts = texts.select("blob", "text", F.monotonically_increasing_id().alias("row"))
-    found = scan_texts(texts.select("blob", "text"), rules)
+    texts = unseen_texts(addressed, unseen)
+    found = scan_texts(texts, rules)
     entries = unseen.select("blob").join(found, "blob", "left").select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", F.array()).alias("spans"))
     path = ledger_path or shared_path(spark, "secret-ledger")
     entries.write.mode("append").parquet(path)
@@ -110,6 +107,13 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     return versions.join(spans, "blob", "left").select(F.col("path_id").alias(id_col), "blob", F.coalesce("spans", none).alias("spans"))
 
 
+def unseen_texts(addressed: DataFrame, unseen: DataFrame) -> DataFrame:
+    """(blob, text) of one row of each unseen blob. Only narrow rows are built into a hash table; a few are broadcast by AQE."""
+    texts = addressed.select("blob", "key", "text").join(unseen.hint("shuffle_hash"), ["blob", "key"], "left_semi")
+    # A condition that is not deterministic, though always true, keeps the optimizer from scanning all texts before the join.
+    return texts.where(F.monotonically_increasing_id() >= 0).select("blob", "text")
+
+
 def _read_ledger(spark: SparkSession, path: str | None) -> DataFrame:
     if path:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -127,7 +131,7 @@ def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`docs` with every found span, overlapping ones merged, replaced by [kind]; n_chars follows. Other texts stay as they are.
 
-    Findings join by blob, and only texts with findings travel: clean rows pass by unshuffled where AQE can broadcast.
+    Findings join by blob; where they are few, AQE broadcasts them and texts stay where they lie.
     """
     found = scan(docs, ledger_path, rules).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
     kinds = F.array(*[F.lit(r.kind) for r in rules])

@@ -254,6 +254,13 @@ def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
     assert spark.read.parquet(path).select("rule_version").distinct().count() == 2
 
 
+def test_texts_are_scanned_after_the_join_with_unseen_blobs(docs):
+    addressed = docs.select(F.sha2("text", 256).alias("blob"), F.col("doc_id").cast("string").alias("key"), "text")
+    found = secrets.scan_texts(secrets.unseen_texts(addressed, addressed.groupBy("blob").agg(F.min("key").alias("key"))))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("RLIKE") < plan.index("LeftSemi")
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdefabcdefabcdefab. ok", 0), (2, "clean", 5), (3, None, None)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(df).collect()}
