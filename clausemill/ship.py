@@ -41,6 +41,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     By the optimizer's size estimate; inputs of more than a wave of tasks, or of unknown size, stay where they are.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(cores) if int(str(size)) <= cores * WAVE_BYTES else df

@@ -1,6 +1,7 @@
 """State carries over triggers: sentences of fragments equal those of whole texts."""
 
 from clausemill.kernel import Rules
+from clausemill.operators import segment
 from clausemill.streaming.split import split_batches, split_stream
 
 TEXTS = {"a": "Dr. Smith (of Inc. fame. Yes) left... He said \"Go. Now.\" to 😀 us. And then? The end", "b": "Short. Even shorter! End.", "c": "(open. never closed. at all. " * 3}
@@ -29,3 +30,11 @@ def test_triggers_do_not_matter(spark, tmp_path):
 def test_batches(spark):
     df = spark.createDataFrame(fragments(7), SCHEMA).repartition(5)
     assert sorted(map(tuple, split_batches(df).collect())) == want()
+
+
+def test_whole_texts_of_a_stream(spark, tmp_path):
+    spark.createDataFrame(list(TEXTS.items()), "stream_key string, text string").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    stream = spark.readStream.schema("stream_key string, text string").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    query = segment.sentences(stream, ["stream_key"]).writeStream.format("memory").queryName("whole").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r["stream_key"], r["idx"], r["text"]) for r in spark.table("whole").collect()) == want()
