@@ -200,6 +200,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     order = Window.partitionBy("_lang").orderBy("_order", "_id")
     narrow = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col).cast("string")).alias("_order"))
+    # Hashes are even: of n rows about 4 * sample_rows are under this bound, so that no task sorts a language. Sizes have
+    # a row for each language, of which the model holds a column each on the driver.
+    sizes = narrow.groupBy("_lang").agg(F.count(F.lit(1)).alias("_rows"))
+    bound = F.col("_order") / F.lit(2.0**64) + 0.5 <= 4.0 * sample_rows / F.col("_rows")
+    narrow = narrow.join(F.broadcast(sizes), "_lang").where(bound)
     chosen = narrow.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("_id", "_lang").distinct()
     sample = usable.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["_id", "_lang"], "left_semi")
 
@@ -287,7 +292,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for part in pieces(batch, text_col, 6_000_000):
+            for part in pieces(batch, text_col, 3_000_000):
                 lang, score = _judge(scorer, part.column(text_col))
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
@@ -300,7 +305,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for part in pieces(batch, text_col, 6_000_000):
+            for part in pieces(batch, text_col, 3_000_000):
                 lang, score = _judge(scorer, part.column(text_col))
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)]))
 
