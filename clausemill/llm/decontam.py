@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from clausemill.llm.shared import map_arrow
 from clausemill.llm.tokens import ALNUM, Words, mixed, pieces, powers, words
 
-#: Fixed masks of span 12 and weight 7: any two substitutions in a window leave one of them untouched, or a shifted window.
-MASKS = ("111101010011", "110010101111", "101111001101")
+#: Masks of span 11 and weight 6. In any 13 tokens, with two substituted inside, one of them meets no substitution at one
+#: of its three places, so that every shortest overlap is found.
+MASKS = ("11100001101", "10110110001", "10001101011")
 _STEP = 0xD1B54A32D192ED03
 
 
@@ -90,7 +91,7 @@ def whole(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
-def stretch(same: np.ndarray, similarity: float, around: int) -> tuple[int, int, int]:
+def stretch(same: np.ndarray, similarity: float) -> tuple[int, int, int]:
     """(length, start, equal) of the longest stretch of `same` with at least `similarity` true, that begins and ends true."""
     gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0 - similarity, -similarity))])
     low = np.minimum.accumulate(gain)  # a start at the first place where the sum is at most gain[end]
@@ -130,7 +131,7 @@ def overlaps(w: Words, h: np.ndarray, test: TestSet, masks: tuple[str, ...], sim
             lo = max(a, w.first[t] - shift)
             hi = min(b, w.first[t + 1] - shift)
             same = h[lo + shift : hi + shift] == test.hash[lo:hi]
-            size, start, equal = stretch(same, similarity, 0)
+            size, start, equal = stretch(same, similarity)
             if size >= min(least, b - a) and equal >= similarity * size:
                 got = (int(t), int(i), int(lo + start + shift - w.first[t]), int(lo + start - a), size, equal)
                 if out.get((t, i), (0,) * 6)[4:] < got[4:]:

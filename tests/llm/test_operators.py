@@ -336,6 +336,13 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontam.find(empty, bench).count() == 0 and decontam.find(odd, bench.limit(0)).count() == 0 and decontam.clean(odd, bench).count() == odd.count()
 
 
+def test_masks_find_every_shortest_overlap():
+    span = len(decontam.MASKS[0])
+    places = [[i for i, c in enumerate(m) if c == "1"] for m in decontam.MASKS]
+    for bad in itertools.combinations(range(1, 12), 2):
+        assert any(all(a + i not in bad for i in p) for a in range(13 - span + 1) for p in places)
+
+
 def test_short_items(spark):
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, "too short"), (3, None)], "item_id long, text string")
     df = spark.createDataFrame([(1, "a one two, three four five six b"), (2, "one two three four five"), (3, "too short")], "doc_id long, text string")
@@ -349,7 +356,7 @@ def test_seed_places_stay_inside_texts():
         first = np.concatenate([[0], np.cumsum(sizes)])
         h = np.arange(first[-1], dtype=np.uint64)
         _, at = decontam.seed_hashes(h, first, decontam.MASKS[0], 0)
-        assert at.tolist() == [a + i for a, n in zip(first, sizes, strict=False) for i in range(max(0, n - 11))]
+        assert at.tolist() == [a + i for a, n in zip(first, sizes, strict=False) for i in range(max(0, n - 10))]
 
 
 # 1
