@@ -236,7 +236,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 class Scorer:
     """Log probabilities of texts; words met before are remembered, `most` of them."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 250_000):
         self.model, self.table, self.most = model, Pieces(model.vocabulary), most
         self.key, self.value = np.zeros(0, np.uint64), np.zeros((0, len(model.languages)))
 
@@ -264,8 +264,8 @@ class Scorer:
         out = np.empty((len(key), len(self.model.languages)))
         out[known] = self.value[at[known]]
         new = np.flatnonzero(~known)
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
             out[part] = forward(Lattice([w.text(k) for k in first[part]], self.table), self.model.p, self.model.unknown)
         if len(new):
             if len(self.key) + len(new) > self.most:
