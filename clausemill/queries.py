@@ -12,7 +12,7 @@ from clausemill.config import LanguageConfig
 from clausemill.functions import sql as functions
 from clausemill.operators import segment
 from clausemill.plans import catalyst, oracle
-from clausemill.ship import shared_path
+from clausemill.ship import shared_path, spread
 from clausemill.sources import sinks
 from clausemill.streaming import split as streaming
 
@@ -88,7 +88,8 @@ def _cases(spark: SparkSession, sf_dir: str, pairs: list[tuple[str, str]], fixtu
     for a, b in pairs:
         replaced = F.replace(replaced, F.lit(a), F.lit(b))
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("case_id"), replaced.alias("text"))
-    return docs.unionByName(spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(fixtures)], "case_id string, text string"))
+    # dealt out here, as the size of the union is not known
+    return spread(docs).unionByName(spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(fixtures)], "case_id string, text string"))
 
 
 def _cases_sql(pairs: list[tuple[str, str]], fixtures: list[str]) -> str:
