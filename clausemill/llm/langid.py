@@ -292,7 +292,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for part in pieces(batch, text_col, 3_000_000):
+            for part in pieces(batch, text_col, 1_000_000):
                 lang, score = _judge(scorer, part.column(text_col))
                 yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(lang, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
@@ -305,7 +305,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for part in pieces(batch, text_col, 3_000_000):
+            for part in pieces(batch, text_col, 1_000_000):
                 lang, score = _judge(scorer, part.column(text_col))
                 yield part.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)]))
 
