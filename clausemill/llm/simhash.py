@@ -54,8 +54,8 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.nda
         else:
             starts, ends = (to - size - 1)[: n - shingle + 1].tolist(), (to - 1)[shingle - 1 :].tolist()
             hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=True)), np.uint64, n - shingle + 1)
-        ones = _ones(hashes)
-        out[d] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+        set_bits = ones(hashes)
+        out[d] = np.packbits(2 * set_bits > len(hashes), bitorder="little").view("<u8")[0]
     return out
 
 
@@ -63,7 +63,7 @@ def fingerprints_of(texts: pa.Array, shingle: int = 3, seed: int = 42) -> np.nda
 _OTHER = bytes(i for i in range(256) if not 0x09 <= i <= 0x0D)
 
 
-def _ones(hashes: np.ndarray, run: int = 1 << 14) -> np.ndarray:
+def ones(hashes: np.ndarray, run: int = 1 << 14) -> np.ndarray:
     """How many of the values have each of 64 bits."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), run):

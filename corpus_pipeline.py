@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausemill.llm import decontam, langid, packing, secrets, simhash
+from clausemill.llm import decontam, langid, nearcopies, packing, secrets
 from clausemill.llm.shared import saved, table
 
 
@@ -17,8 +17,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of documents linked at Jaccard similarity 0.8 on five-word shingles that with the smallest id stays."""
+    return nearcopies.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
