@@ -7,14 +7,17 @@ token by token on the hit's diagonal, and the longest stretch with at least `sim
 The test set is used in blocks of at most `block_windows` windows (the bound of what is sent to executors, whatever its
 size); every block meets all documents.
 
-Cases: null and empty texts match nothing; test items of fewer tokens than the masks' span are compared whole, by the
-hash of all their tokens; items of fewer than `least_item` tokens are too common to mean anything and are left out, which
+Items of `least` tokens at most are compared whole: cut into one run more than the tokens that may be substituted, of
+which one must be equal, so that no copy is missed.
+
+Cases: null and empty texts match nothing; items of fewer than `least_item` tokens are too common to mean anything and are left out, which
 is a documented parameter; repeated rows and ties are all reported; empty tables give an empty result; columns beside
 ids and texts are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,89 +64,100 @@ class TestSet:
 
     __test__ = False
 
-    def __init__(self, ids: list, texts: list[str], masks: tuple[str, ...], least_item: int):
-        span = len(masks[0])
+    def __init__(self, ids: list, texts: list[str], masks: tuple[str, ...], least_item: int, similarity: float = 0.8, least: int = 13):
         self.ids = ids
         w = words(_fold(pa.array(texts, pa.string())), ALNUM)
         self.hash, self.first = w.hashes(), w.first
-        keys, places = [], []
+        self.size = np.diff(self.first)
+        #: (mask, number, sorted keys, their places, their items, which leading bits occur) of long items and of runs of short ones
+        self.seeds: list[tuple] = []
         for no, mask in enumerate(masks):
             k, at = seed_hashes(self.hash, self.first, mask, no)
-            keys.append(k)
-            places.append(at)
-        self.short: dict[int, dict[int, list[int]]] = {}  # length: hash: items
-        for i, n in enumerate(np.diff(self.first)):
-            if least_item <= n < span:
-                k = whole(self.hash, np.array([self.first[i]]), int(n))[0]
-                self.short.setdefault(int(n), {}).setdefault(int(k), []).append(i)
-        key, place = np.concatenate(keys), np.concatenate(places)
-        order = np.argsort(key, kind="stable")
-        self.key, self.place = key[order], place[order]
-        self.item = np.searchsorted(self.first, self.place, side="right") - 1
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.key >> np.uint64(42)] = True
-
-
-def whole(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    total = np.full(len(at), np.uint64(n))
-    for j in range(n):
-        total = total * np.uint64(_STEP) + h[at + j]
-    return mixed(total)
+            long = self.size[np.searchsorted(self.first, at, side="right") - 1] > least
+            self._add(mask, no, k[long], at[long])
+        runs: dict[int, list[int]] = {}  # length: places
+        for i, n in enumerate(self.size.tolist()):
+            if max(least_item, 1) <= n <= least:
+                cuts = np.linspace(0, n, n - needed(n, similarity) + 2).astype(int)
+                for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                    runs.setdefault(int(y - x), []).append(int(self.first[i] + x))
+        for n, places in sorted(runs.items()):
+            k, at = seed_hashes(self.hash, self.first, "1" * n, len(masks))
+            mine = np.isin(at, places)
+            self._add("1" * n, len(masks), k[mine], at[mine])
+
+    def _add(self, mask: str, no: int, key: np.ndarray, place: np.ndarray) -> None:
+        if len(key):
+            order = np.argsort(key, kind="stable")
+            seen = np.zeros(1 << 22, bool)
+            seen[key >> np.uint64(42)] = True
+            self.seeds.append((mask, no, key[order], place[order], np.searchsorted(self.first, place[order], side="right") - 1, seen))
+
+
+def needed(n: int, similarity: float) -> int:
+    """How many of n tokens must be equal."""
+    return math.ceil(similarity * n - 1e-9)
 
 
 def stretch(same: np.ndarray, similarity: float) -> tuple[int, int, int]:
     """(length, start, equal) of the longest stretch of `same` with at least `similarity` true, that begins and ends true."""
     gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0 - similarity, -similarity))])
-    low = np.minimum.accumulate(gain)  # a start at the first place where the sum is at most gain[end]
-    ends = np.arange(1, len(gain))
-    starts = np.searchsorted(-low, -(gain[1:] + 1e-9), side="left")
-    size = ends - starts
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0, 0
+    low = np.minimum.accumulate(gain[at])  # a start at the first place where the sum is at most gain[end]
+    starts = at[np.searchsorted(-low, -(gain[at + 1] + 1e-9), side="left")]
+    size = at + 1 - starts
     best = int(np.argmax(size))
-    a, b = int(starts[best]), int(ends[best])
-    while a < b and not same[a]:
-        a += 1
-    while b > a and not same[b - 1]:
-        b -= 1
+    a, b = int(starts[best]), int(at[best]) + 1
     return b - a, a, int(same[a:b].sum())
 
 
-def overlaps(w: Words, h: np.ndarray, test: TestSet, masks: tuple[str, ...], similarity: float, least: int) -> list[tuple]:
+def overlaps(w: Words, h: np.ndarray, test: TestSet, similarity: float, least: int) -> list[tuple]:
     """(text, item, place in text, place in item, length, equal): the best overlap of each text and item that met."""
     texts, items, places, tests = [], [], [], []
-    for no, mask in enumerate(masks):
+    for mask, no, key, spot, item, seen in test.seeds:
         k, at = seed_hashes(h, w.first, mask, no)
-        maybe = np.flatnonzero(test.seen[k >> np.uint64(42)])
+        maybe = np.flatnonzero(seen[k >> np.uint64(42)])
         k, at = k[maybe], at[maybe]
-        lo, hi = np.searchsorted(test.key, k, side="left"), np.searchsorted(test.key, k, side="right")
+        lo, hi = np.searchsorted(key, k, side="left"), np.searchsorted(key, k, side="right")
         many = hi - lo
         rep = np.repeat(np.arange(len(k)), many)
         slot = np.repeat(lo, many) + (np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many))
         places.append(at[rep])
-        tests.append(test.place[slot])
-        items.append(test.item[slot])
+        tests.append(spot[slot])
+        items.append(item[slot])
         texts.append(w.doc[at[rep]])
-    text, item, place, at = map(np.concatenate, (texts, items, places, tests))
     out: dict[tuple[int, int], tuple] = {}
-    if len(text):
-        diagonal = np.stack([text, item, place - at], axis=1)
-        for t, i, shift in np.unique(diagonal, axis=0):  # one comparison for each diagonal, however many seeds hit it
-            a, b = test.first[i], test.first[i + 1]
-            lo = max(a, w.first[t] - shift)
-            hi = min(b, w.first[t + 1] - shift)
-            same = h[lo + shift : hi + shift] == test.hash[lo:hi]
-            size, start, equal = stretch(same, similarity)
-            if size >= min(least, b - a) and equal >= similarity * size:
-                got = (int(t), int(i), int(lo + start + shift - w.first[t]), int(lo + start - a), size, equal)
-                if out.get((t, i), (0,) * 6)[4:] < got[4:]:
-                    out[t, i] = got
-    for n, keys in test.short.items():
-        at = np.arange(max(0, len(h) - n + 1))
-        at = at[at + n <= w.first[w.doc[at] + 1]] if len(at) else at
-        k = whole(h, at, n)
-        for p in np.flatnonzero(np.isin(k, np.fromiter(keys, np.uint64, len(keys)))):
-            t = int(w.doc[at[p]])
-            for i in keys[int(k[p])]:
-                out.setdefault((t, i), (t, i, int(at[p] - w.first[t]), 0, n, n))
+    if not texts:
+        return []
+    text, item, place, at = map(np.concatenate, (texts, items, places, tests))
+    diagonal = np.unique(np.stack([text, item, place - at], axis=1), axis=0)  # one comparison for each, however many seeds hit it
+    size = test.size[diagonal[:, 1]] if len(diagonal) else np.zeros(0, np.int64)
+    for n in np.unique(size[size <= least]).tolist():  # whole items
+        some = diagonal[size == n]
+        a = test.first[some[:, 1]]
+        b = a + some[:, 2]
+        inside = (b >= w.first[some[:, 0]]) & (b + n <= w.first[some[:, 0] + 1])
+        some, a, b = some[inside], a[inside, None] + np.arange(n), b[inside, None] + np.arange(n)
+        equal = (h[b] == test.hash[a]).sum(axis=1)
+        for j in np.flatnonzero(equal >= needed(n, similarity)).tolist():
+            t, i = int(some[j, 0]), int(some[j, 1])
+            got = (t, i, int(b[j, 0] - w.first[t]), 0, n, int(equal[j]))
+            if out.get((t, i), (0,) * 6)[4:] < got[4:]:
+                out[t, i] = got
+    for t, i, shift in diagonal[size > least]:
+        a, b = test.first[i], test.first[i + 1]
+        lo = max(a, w.first[t] - shift)
+        hi = min(b, w.first[t + 1] - shift)
+        same = h[lo + shift : hi + shift] == test.hash[lo:hi]
+        size_, start, equal = stretch(same, similarity)
+        if size_ < least and hi - lo == b - a and same.sum() >= needed(b - a, similarity):  # the whole item, unequal ends included
+            size_, start, equal = int(b - a), 0, int(same.sum())
+        if size_ >= least:
+            got = (int(t), int(i), int(lo + start + shift - w.first[t]), int(lo + start - a), size_, equal)
+            if out.get((t, i), (0,) * 6)[4:] < got[4:]:
+                out[t, i] = got
     return list(out.values())
 
 
@@ -156,12 +170,12 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     def against(block: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            test = TestSet([b[0] for b in block], [b[1] for b in block], masks, least_item)
+            test = TestSet([b[0] for b in block], [b[1] for b in block], masks, least_item, similarity, least)
             ids = pa.array(test.ids)
             for batch in batches:
                 for part in pieces(batch, text_col):
                     w = words(_fold(part.column(text_col)), ALNUM)
-                    rows = overlaps(w, w.hashes(), test, masks, similarity, least)
+                    rows = overlaps(w, w.hashes(), test, similarity, least)
                     if rows:
                         t, i, a, b, n, e = map(np.array, zip(*rows, strict=True))
                         yield pa.RecordBatch.from_arrays([part.column(id_col).take(pa.array(t)), ids.take(pa.array(i)), pa.array(a), pa.array(b), pa.array(n), pa.array(e), pa.array(e / n)], names=[id_col, item_col, "doc_start", "item_start", "n_tokens", "n_equal", "similarity"])
@@ -195,11 +209,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for block in blocks(benchmark.select("item_id", "text"), options.get("block_windows", 1_000_000)):
 
         def run(batches: Iterator[pa.RecordBatch], block: list[tuple] = block) -> Iterator[pa.RecordBatch]:
-            test = TestSet([b[0] for b in block], [b[1] for b in block], masks, least_item)
+            test = TestSet([b[0] for b in block], [b[1] for b in block], masks, least_item, similarity, least)
             for batch in batches:
                 for part in pieces(batch, text_col):
                     w = words(_fold(part.column(text_col)), ALNUM)
-                    bad = {r[0] for r in overlaps(w, w.hashes(), test, masks, similarity, least)}
+                    bad = {r[0] for r in overlaps(w, w.hashes(), test, similarity, least)}
                     yield part.take(pa.array([i for i in range(len(part)) if i not in bad], pa.int64())) if bad else part
 
         out = map_arrow(out, run, docs.schema)
