@@ -11,7 +11,8 @@ notice, advert, comments and the like), or `open` (none of these). Pages that ha
 give their main lines, or if they have none their open lines, and there differencing decides.
 
 Cases: null and empty pages, and pages without text, give an empty text; null or odd URLs count as host '' with the URL
-as path; a page with the same lines throughout (a copy) is not compared with, so a copy deletes nothing; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
+as path; a page with the same lines throughout (a copy) is passed over for the next one, so a copy deletes nothing and copies
+in a row get the same neighbours; repeated rows each give a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -200,17 +201,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     yield pa.RecordBatch.from_arrays([part.column(id_col), part.column(url_col), pa.array(h, pa.string()), pa.array(p, pa.string()), pa.array(x, pa.binary()), pa.array(r, pa.binary()), pa.array(s, pa.int64()), pa.array(t, pa.binary())], names=["id", "url", "host", "path", "hashes", "roles", "sign", "body"])
 
     parsed = map_arrow(pages.select(id_col, url_col, html_col), cut, f"id {kind}, url string, host string, path string, hashes binary, roles binary, sign long, body binary")
-    key = F.struct("host", "path", "sign")
+    key_columns = ("host", "path", "sign")
+    key = F.struct(*key_columns)
     # Only pages with open lines need a neighbour, but every page can be one. A page stands for its copies.
     narrow = parsed.select("host", "path", "sign", "hashes").dropDuplicates(["host", "path", "sign"])
     ordered = saved(narrow.repartitionByRange("host", "path", "sign").sortWithinPartitions("host", "path", "sign").withColumn("part", F.spark_partition_id()), "page-order")
     seen = F.struct("host", "path", "sign", "hashes")
-    run = Window.partitionBy("part").orderBy("host", "path", "sign")
+    # Copies in a row have the same neighbours: on each side the nearest page with another sign.
     ends = ordered.groupBy("part").agg(F.min_by(seen, key).alias("head"), F.max_by(seen, key).alias("tail"))
-    chain = Window.orderBy("part")  # a row for each partition
-    ends = ends.select("part", F.lag("tail").over(chain).alias("before_part"), F.lead("head").over(chain).alias("after_part"))
-    near = ordered.withColumn("before", F.lag(seen).over(run)).withColumn("after", F.lead(seen).over(run)).join(F.broadcast(ends), "part")
-    near = near.select("host", "path", "sign", F.coalesce("before", "before_part").alias("before"), F.coalesce("after", "after_part").alias("after"))
+    sides = ordered
+    for side, order, first, last in (("before", [F.asc(c) for c in key_columns], "head", "tail"), ("after", [F.desc(c) for c in key_columns], "tail", "head")):
+        run = Window.partitionBy("part").orderBy(*order)
+        turn = F.lag(seen).over(run)
+        sides = sides.withColumn("turn", F.when(turn["sign"] != F.col("sign"), turn))
+        sides = sides.withColumn(side, F.last("turn", True).over(run.rowsBetween(Window.unboundedPreceding, 0))).drop("turn")
+        # The same over partitions, a row for each: the last row behind whose sign is not that of this partition's first row.
+        away = sides.groupBy("part").agg((F.max_by if side == "before" else F.min_by)(side, key).alias("inner"))
+        chain = Window.orderBy(F.asc("part") if side == "before" else F.desc("part"))
+        linked = ends.join(away, "part").withColumn("prior", F.lag(last).over(chain))
+        linked = linked.withColumn("value", F.coalesce("inner", F.when(F.col("prior")["sign"] != F.col(last)["sign"], F.col("prior"))))
+        linked = linked.withColumn("beyond", F.last("value", True).over(chain.rowsBetween(Window.unboundedPreceding, -1)))
+        linked = linked.select("part", F.when(F.col("prior")["sign"] != F.col(first)["sign"], F.col("prior")).otherwise(F.col("beyond")).alias("outer"))
+        sides = sides.join(F.broadcast(linked), "part").withColumn(side, F.coalesce(side, "outer")).drop("outer")
+    near = sides.select("host", "path", "sign", "before", "after")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
