@@ -8,7 +8,13 @@ Before windows travel, each run of texts (about `run_bytes`) settles what it can
 its smallest id are sent, the others are removed for certain. So however many documents share a passage, each run sends
 it for one document. Windows travel packed, about nine bytes each, and texts compressed.
 
-Hashes have 64 bits, or 128 where the corpus has so many windows that two unequal ones might meet.
+A window has two Rabin-Karp hashes of 64 bits, over two independent hashes of its words. One run compares both. Between
+runs, windows are equal if they agree in the first hash, in the bucket (leading bits of the second) and in eight more bits
+of the second: 72 bits and one for each doubling of the number of buckets. So of n windows, which have n / 1.5 million
+buckets, two unequal ones meet with a probability of n / 2**53: one in a million at 30 GB of text, one in 500 at 100 TB.
+
+A passage that every run has sends a row for each run to one bucket. Beyond 2**16 runs buckets are settled in two steps,
+first in parts of so many runs, of which only the smallest id goes on; the result is the same.
 
 Cases: null and empty texts have no words; a row without an id keeps all its words and removes none elsewhere; of rows
 with one id none removes the other, and each is judged by its own text; an empty table gives an empty result; other
@@ -64,19 +70,24 @@ def encode(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, extra: list[np.nda
     heads = np.flatnonzero(fresh)
     step = np.diff(at, prepend=0)
     step[heads] = at[heads]
-    parts = [planes(ids[heads]), planes(tags[heads]), planes(np.diff(np.append(heads, len(ids))).astype(np.uint32)), planes(step.astype(np.uint32))]
+    parts = [planes(np.diff(ids[heads], prepend=0)), planes(tags[heads]), planes(np.diff(np.append(heads, len(ids))).astype(np.uint32)), planes(step.astype(np.uint32))]
     body = b"".join([*parts, *map(planes, extra)])
     return np.array([len(ids), len(heads), len(extra)], np.uint32).tobytes() + body
 
 
+#: Types of what encode() may have as `extra`: the first hash and eight bits of the second.
+_EXTRA = ("<u8", "<u1")
+
+
 def decode(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     n, heads, extra = map(int, np.frombuffer(b[:12], np.uint32))
     at, out = 12, []
-    for kind, many in (("<i8", heads), ("<u4", heads), ("<u4", heads), ("<u4", n), *[("<u8", n)] * extra):
+    for kind, many in (("<i8", heads), ("<u4", heads), ("<u4", heads), ("<u4", n), *[(k, n) for k in _EXTRA[:extra]]):
         size = many * int(kind[2])
         out.append(unplanes(b[at : at + size], kind, many))
         at += size
     ids, tags, runs, step, *hashes = out
+    ids = np.cumsum(ids)
     run = np.repeat(np.arange(heads), runs)
     place = np.cumsum(step.astype(np.int64))
     first = np.cumsum(runs, dtype=np.int64) - runs
@@ -109,7 +120,29 @@ def _small(key: np.ndarray, most: int) -> np.ndarray:
     return key.astype(np.int16) if most < 1 << 15 else key.astype(np.int32)
 
 
-def pack_windows(part: pa.RecordBatch, id_col: str, text_col: str, size: int, buckets: int, groups: int, wide: bool) -> Iterator[tuple[int, int, bytes]]:
+def classes(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows stand together, and the places in it where a class begins."""
+    order = np.argsort(first)
+    a, b = first[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, np.flatnonzero(fresh)
+
+
+def above_least(value: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which windows have an equal one of smaller value."""
+    out = np.zeros(len(value), bool)
+    if len(value):
+        order, heads = classes(first, second)
+        low = np.repeat(np.minimum.reduceat(value[order], heads), np.diff(np.append(heads, len(value))))
+        out[order] = value[order] > low
+    return out
+
+
+def pack_windows(part: pa.RecordBatch, id_col: str, text_col: str, size: int, buckets: int, groups: int) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, group, payload): windows for a bucket (group -1), or places that are removed already, for a group."""
     part = part.filter(part.column(id_col).is_valid())
     ids = part.column(id_col).cast(pa.int64()).to_numpy(zero_copy_only=False)
@@ -118,22 +151,13 @@ def pack_windows(part: pa.RecordBatch, id_col: str, text_col: str, size: int, bu
     if not len(start):
         return
     tags = tags_of(part.column(text_col))
-    h = window_hashes(w.hashes(), size)[start]
+    first, second = (window_hashes(w.hashes(seed), size)[start] for seed in (0, 1))
     doc = w.doc[start]
-    rank = np.unique(ids, return_inverse=True)[1]
-    by_hash = np.argsort(h)
-    sorted_h, sorted_rank = h[by_hash], rank[doc[by_hash]]
-    heads = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
-    low = np.repeat(np.minimum.reduceat(sorted_rank, heads), np.diff(np.append(heads, len(h))))
-    gone = np.zeros(len(h), bool)
-    gone[by_hash] = sorted_rank > low
-    if wide and gone.any():
-        gone = _exactly(gone, h, window_hashes(w.hashes(1), size)[start], rank[doc])
     at = start - w.first[doc]
+    gone = above_least(np.unique(ids, return_inverse=True)[1][doc], first, second)
     kept = np.flatnonzero(~gone)
-    bucket = _small((h[kept] >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(kept), np.int64), buckets)
-    extra = [h[kept]] + ([window_hashes(w.hashes(1), size)[start[kept]]] if wide else [])
-    for key, payload in _by(bucket, ids[doc[kept]], tags[doc[kept]], at[kept], extra):
+    bucket = _small((second[kept] >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(kept), np.int64), buckets)
+    for key, payload in _by(bucket, ids[doc[kept]], tags[doc[kept]], at[kept], [first[kept], second[kept].astype(np.uint8)]):
         yield key, -1, payload
     lost = np.flatnonzero(gone)
     group = _group(ids[doc[lost]], groups)
@@ -141,34 +165,17 @@ def pack_windows(part: pa.RecordBatch, id_col: str, text_col: str, size: int, bu
         yield key % buckets, key, payload
 
 
-def _exactly(gone: np.ndarray, h: np.ndarray, second: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    order = np.lexsort((rank, second, h))
-    a, b = h[order], second[order]
-    heads = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    low = rank[order][np.flatnonzero(heads)][np.cumsum(heads) - 1]
-    out = np.zeros(len(gone), bool)
-    out[order] = rank[order] > low
-    return out
-
-
-def settle(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, tag, place) of the windows of a bucket whose hash has a smaller id."""
+def settle(payloads: list[bytes]) -> tuple[tuple, tuple]:
+    """(id, tag, place, hashes) of the windows of a bucket of which another has a smaller id, and of the others."""
     parts = [decode(p) for p in payloads]
     ids, tags, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    hashes = [np.concatenate([p[3][k] for p in parts]) for k in range(len(parts[0][3]))]
+    hashes = [np.concatenate([p[3][k] for p in parts]) for k in range(len(_EXTRA))]
     del parts
-    order = np.argsort(hashes[0]) if len(hashes) == 1 else np.lexsort(hashes[::-1])
-    fresh = np.zeros(len(ids), bool)
-    fresh[:1] = True
-    for x in hashes:
-        fresh[1:] |= x[order[1:]] != x[order[:-1]]
-    heads = np.flatnonzero(fresh)
-    low = np.repeat(np.minimum.reduceat(ids[order], heads), np.diff(np.append(heads, len(ids))))
-    gone = np.sort(order[ids[order] > low])
-    return ids[gone], tags[gone], at[gone]
+    gone = above_least(ids, *hashes)
+    return tuple((ids[m], tags[m], at[m], [x[m] for x in hashes]) for m in (np.flatnonzero(gone), np.flatnonzero(~gone)))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, run_bytes: int = 2_500_000, bucket_windows: int = 1_500_000, group_bytes: int = 24_000_000, exact_windows: int = 1 << 29) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, run_bytes: int = 2_500_000, bucket_windows: int = 1_500_000, group_bytes: int = 24_000_000, part_runs: int = 1 << 16) -> DataFrame:
     """(id_col, n_words, n_removed, kept, kept_sha256, intervals), a row for each row of docs; ids are integers.
 
     intervals: the maximal removed runs of words, [first, end). bucket_windows and group_bytes bound what a task holds.
@@ -176,28 +183,30 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = docs.agg(F.sum(F.octet_length(text_col))).collect()[0][0] or 0
     buckets = 1 << max(0, int(total // 6 // bucket_windows).bit_length())
     groups = int(total // group_bytes) + 1
-    wide = total // 6 > exact_windows
+    salts = int(total // run_bytes // part_runs) + 1
     kind = docs.schema[id_col].dataType.simpleString()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_col, run_bytes):
-                rows = list(pack_windows(part, id_col, text_col, size, buckets, groups, wide))
+                rows = list(pack_windows(part, id_col, text_col, size, buckets, groups))
                 if rows:
                     b, g, p = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(g, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "grp", "payload"])
+                    salt = xxhash.xxh32_intdigest(repr(part.column(id_col)[0])) % salts
+                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([salt] * len(b), pa.int32()), pa.array(g, pa.int32()), pa.array(p, pa.binary())], names=["bucket", "salt", "grp", "payload"])
 
-    def in_bucket(t: pa.Table) -> pa.Table:
-        payload, grp = t.column("payload"), t.column("grp").to_pylist()
+    def in_bucket(t: pa.Table, last: bool) -> pa.Table:
+        payload, grp, bucket = t.column("payload"), t.column("grp").to_pylist(), t.column("bucket")[0].as_py()
         out = [(g, payload[i].as_py()) for i, g in enumerate(grp) if g >= 0]
         own = [payload[i].as_py() for i, g in enumerate(grp) if g < 0]
         if own:
-            ids, tags, at = settle(own)
-            out += _by(_group(ids, groups), ids, tags, at, [])
-        return pa.table({"grp": pa.array([g for g, _ in out], pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
+            gone, rest = settle(own)
+            out += _by(_group(gone[0], groups), *gone[:3], [])
+            out += [] if last else [(-1, encode(*rest))]
+        return pa.table({"bucket": pa.array([bucket] * len(out), pa.int32()), "grp": pa.array([g for g, _ in out], pa.int32()), "payload": pa.array([p for _, p in out], pa.binary())})
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in pieces(batch, text_col, run_bytes):
                 ids = part.column(id_col).cast(pa.int64())
@@ -237,8 +246,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({"id": pa.array(out["id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string()), "intervals": pa.array(out["intervals"], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))})
 
     narrow = docs.select(id_col, text_col)
-    sent = map_arrow(narrow, windows, "bucket int, grp int, payload binary")
-    removed = sent.groupBy("bucket").applyInArrow(in_bucket, "grp int, payload binary")
+    sent = map_arrow(narrow, windows, "bucket int, salt int, grp int, payload binary")
+    row = "bucket int, grp int, payload binary"
+    if salts > 1:
+        sent = sent.groupBy("bucket", "salt").applyInArrow(lambda t: in_bucket(t, False), row)
+    removed = sent.groupBy("bucket").applyInArrow(lambda t: in_bucket(t, True), row).drop("bucket")
     packed = map_arrow(narrow, texts, "grp int, ids array<long>, sizes array<long>, blob binary")
     out = packed.groupBy("grp").cogroup(removed.groupBy("grp")).applyInArrow(in_group, "id long, n_words long, n_removed long, kept_sha256 string, intervals array<struct<first:long,end:long>>")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_removed", "kept_sha256", "intervals")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,6 +25,8 @@ LOWER[0x41:0x5B] += 32
 
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: The lowest 0..8 bytes of a value.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -63,13 +66,27 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """64 bits for each word: a polynomial of its bytes, mixed."""
-        n = len(self.data)
-        base = (_BASE + 2 * seed) & _MASK
-        inverse = _INVERSE if not seed else pow(base, -1, 1 << 64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * powers(inverse, n + 1)[self.starts])
+        """64 bits for each word: eight bytes at a time, each eight mixed into what those before gave.
+
+        No two words of up to eight bytes are alike; words of more than 64 bytes are hashed by XXH3.
+        """
+        size = self.ends - self.starts
+        h = mixed(size.astype(np.uint64) + np.uint64((seed * _BASE + 1) & _MASK))
+        long = np.flatnonzero(size > 64)
+        at = np.flatnonzero(size <= 64) if len(long) else np.arange(len(size))
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # of the bytes from each place on
+        for step in range(0, 64, 8):
+            if not len(at):
+                break
+            left = np.minimum(size[at] - step, 8)
+            part = eight[self.starts[at] + step] & (_MASKS[left])
+            h[at] = mixed((h[at] ^ part) + np.uint64(_BASE))
+            at = at[size[at] > step + 8]
+        data = memoryview(self.data)
+        for i in long.tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[self.starts[i] : self.ends[i]], seed)
+        return h
 
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
