@@ -8,11 +8,15 @@ The test set is used in blocks of at most `block_windows` windows (the bound of
 size); every block meets all documents.
 
 Items of `least` tokens at most are compared whole: cut into one run more than the tokens that may be substituted, of
-which one must be equal, so that no copy is missed.
+which one must be equal, so that no copy is missed. The masks miss no overlap of longer items either: one of them meets no
+substitution in any stretch of `least` tokens or more of which four fifths are equal.
 
-Cases: null and empty texts match nothing; items of fewer than `least_item` tokens are too common to mean anything and are left out, which
-is a documented parameter; repeated rows and ties are all reported; empty tables give an empty result; columns beside
-ids and texts are ignored.
+Hits are expanded in bounded runs and held once for each diagonal, so that texts and items of repeated tokens take time
+but no memory. The best overlap of a text and an item is the longest, then that with most equal tokens, then the first.
+
+Cases: null and empty texts match nothing; items count from one token on unless `least_item` asks for more; texts of any
+length and of one repeated token are compared whole; repeated rows and ties are all reported; empty tables give an empty
+result; columns beside ids and texts are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +33,9 @@ from pyspark.sql import functions as F
 from clausemill.llm.shared import map_arrow
 from clausemill.llm.tokens import ALNUM, Words, mixed, pieces, powers, words
 
-#: Masks of span 11 and weight 6. In any 13 tokens, with two substituted inside, one of them meets no substitution at one
-#: of its three places, so that every shortest overlap is found.
-MASKS = ("11100001101", "10110110001", "10001101011")
+#: Of every 13 tokens with 2 substituted, 15 with 3, 20 with 4 and 25 with 5, one of these meets none of the substituted
+#: ones. Longer stretches hold one of these: of two halves one has its share of substitutions at most.
+MASKS = ("1111011", "110100010011", "110101011", "1110111")
 _STEP = 0xD1B54A32D192ED03
 
 
@@ -113,55 +117,89 @@ def stretch(same: np.ndarray, similarity: float) -> tuple[int, int, int]:
     return b - a, a, int(same[a:b].sum())
 
 
-def overlaps(w: Words, h: np.ndarray, test: TestSet, similarity: float, least: int) -> list[tuple]:
-    """(text, item, place in text, place in item, length, equal): the best overlap of each text and item that met."""
-    texts, items, places, tests = [], [], [], []
+def diagonals(w: Words, h: np.ndarray, test: TestSet, run: int = 1 << 20) -> np.ndarray:
+    """Rows (text, item, place in texts - place in items) with a common seed, sorted, each once; `run` hits are held at a time."""
+    reach = len(h) + len(test.hash) + 1
+    kept, waiting, held = np.zeros(0, np.int64), [], 0
     for mask, no, key, spot, item, seen in test.seeds:
         k, at = seed_hashes(h, w.first, mask, no)
         maybe = np.flatnonzero(seen[k >> np.uint64(42)])
         k, at = k[maybe], at[maybe]
-        lo, hi = np.searchsorted(key, k, side="left"), np.searchsorted(key, k, side="right")
-        many = hi - lo
-        rep = np.repeat(np.arange(len(k)), many)
-        slot = np.repeat(lo, many) + (np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many))
-        places.append(at[rep])
-        tests.append(spot[slot])
-        items.append(item[slot])
-        texts.append(w.doc[at[rep]])
-    out: dict[tuple[int, int], tuple] = {}
-    if not texts:
+        lo = np.searchsorted(key, k, side="left")
+        many = np.searchsorted(key, k, side="right") - lo
+        hit = np.flatnonzero(many)
+        lo, many, at = lo[hit], many[hit], at[hit]
+        to = np.cumsum(many)
+        first = 0
+        while first < len(at):
+            end = max(first + 1, int(np.searchsorted(to, (to[first - 1] if first else 0) + run, side="right")))
+            n = many[first:end]
+            rep = np.repeat(np.arange(first, end), n)
+            slot = lo[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+            code = (w.doc[at[rep]] * len(test.size) + item[slot]) * reach + (at[rep] - spot[slot] + len(test.hash))
+            waiting.append(np.unique(code))
+            held += len(waiting[-1])
+            if held > 2 * run:
+                kept = np.unique(np.concatenate([kept, *waiting]))
+                waiting, held = [], 0
+            first = end
+    kept = np.unique(np.concatenate([kept, *waiting])) if waiting else kept
+    pair, shift = kept // reach, kept % reach - len(test.hash)
+    return np.stack([pair // len(test.size), pair % len(test.size), shift], axis=1) if len(kept) else np.zeros((0, 3), np.int64)
+
+
+def _equal_counts(h: np.ndarray, test: TestSet, shift: np.ndarray, lo: np.ndarray, hi: np.ndarray, run: int = 1 << 21) -> np.ndarray:
+    """How many tokens lo..hi of the items are equal to those `shift` away in the texts, `run` compared at a time."""
+    size, out, a = hi - lo, np.zeros(len(lo), np.int64), 0
+    to = np.cumsum(size)
+    while a < len(lo):
+        b = max(a + 1, int(np.searchsorted(to, (to[a - 1] if a else 0) + run, side="right")))
+        n = size[a:b]
+        start = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(lo[a:b] - start, n)
+        same = np.concatenate([[0], np.cumsum(h[at + np.repeat(shift[a:b], n)] == test.hash[at])])
+        out[a:b] = same[start + n] - same[start]
+        a = b
+    return out
+
+
+def overlaps(w: Words, h: np.ndarray, test: TestSet, similarity: float, least: int) -> list[tuple]:
+    """(text, item, place in text, place in item, length, equal): the best overlap of each text and item that met."""
+    if not test.seeds or not len(h):
         return []
-    text, item, place, at = map(np.concatenate, (texts, items, places, tests))
-    diagonal = np.unique(np.stack([text, item, place - at], axis=1), axis=0)  # one comparison for each, however many seeds hit it
-    size = test.size[diagonal[:, 1]] if len(diagonal) else np.zeros(0, np.int64)
-    for n in np.unique(size[size <= least]).tolist():  # whole items
-        some = diagonal[size == n]
-        a = test.first[some[:, 1]]
-        b = a + some[:, 2]
-        inside = (b >= w.first[some[:, 0]]) & (b + n <= w.first[some[:, 0] + 1])
-        some, a, b = some[inside], a[inside, None] + np.arange(n), b[inside, None] + np.arange(n)
-        equal = (h[b] == test.hash[a]).sum(axis=1)
-        for j in np.flatnonzero(equal >= needed(n, similarity)).tolist():
-            t, i = int(some[j, 0]), int(some[j, 1])
-            got = (t, i, int(b[j, 0] - w.first[t]), 0, n, int(equal[j]))
-            if out.get((t, i), (0,) * 6)[4:] < got[4:]:
-                out[t, i] = got
-    for t, i, shift in diagonal[size > least]:
-        a, b = test.first[i], test.first[i + 1]
-        lo = max(a, w.first[t] - shift)
-        hi = min(b, w.first[t + 1] - shift)
-        same = h[lo + shift : hi + shift] == test.hash[lo:hi]
-        size_, start, equal = stretch(same, similarity)
-        if size_ < least and hi - lo == b - a and same.sum() >= needed(b - a, similarity):  # the whole item, unequal ends included
-            size_, start, equal = int(b - a), 0, int(same.sum())
-        if size_ >= least:
-            got = (int(t), int(i), int(lo + start + shift - w.first[t]), int(lo + start - a), size_, equal)
-            if out.get((t, i), (0,) * 6)[4:] < got[4:]:
-                out[t, i] = got
-    return list(out.values())
-
-
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, similarity: float = 0.8, least: int = 13, least_item: int = 5, block_windows: int = 1_000_000) -> DataFrame:
+    met = diagonals(w, h, test)
+    text, item, shift = met.T
+    size = test.size[item]
+    a, b = test.first[item], test.first[item + 1]
+    lo, hi = np.maximum(a, w.first[text] - shift), np.minimum(b, w.first[text + 1] - shift)
+    whole = hi - lo == size
+    inside = np.flatnonzero((hi > lo) & (whole | (size > least)))
+    text, item, shift, size, a, lo, hi, whole = (x[inside] for x in (text, item, shift, size, a, lo, hi, whole))
+    equal = _equal_counts(h, test, shift, lo, hi)
+    enough = np.ceil(similarity * size - 1e-9)
+    # No stretch of a diagonal is longer than this.
+    bound = np.where(size <= least, size, np.minimum(np.floor(equal / similarity + 1e-9), hi - lo).astype(np.int64))
+    some = np.flatnonzero(np.where(size <= least, equal >= enough, (bound >= least) | (whole & (equal >= enough))))
+    out: dict[tuple[int, int], tuple] = {}
+    for j in some[np.lexsort((shift[some], -equal[some], -bound[some]))].tolist():
+        t, i, s = int(text[j]), int(item[j]), int(shift[j])
+        best = out.get((t, i))
+        if best and (int(bound[j]), int(equal[j]), -s) <= best[2:5]:
+            continue
+        n, start, e = int(size[j]), 0, int(equal[j])
+        if n > least:
+            n, start, e = stretch(h[lo[j] + s : hi[j] + s] == test.hash[lo[j] : hi[j]], similarity)
+            if n < least and whole[j] and equal[j] >= enough[j]:  # the whole item, unequal ends included
+                n, start, e = int(size[j]), 0, int(equal[j])
+            if n < least:
+                continue
+        got = (int(lo[j]) + start + s - int(w.first[t]), int(lo[j] - a[j]) + start, n, e, -s)
+        if best is None or got[2:] > best[2:]:
+            out[t, i] = got
+    return [(t, i, *got[:4]) for (t, i), got in out.items()]
+
+
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, similarity: float = 0.8, least: int = 13, least_item: int = 1, block_windows: int = 1_000_000) -> DataFrame:
     """(id_col, item_col, doc_start, item_start, n_tokens, n_equal, similarity): a row for each document and item that overlap.
 
     An overlap is a stretch of `least` tokens (the whole item if it is shorter), of which `similarity` are equal in place.
@@ -204,7 +242,7 @@ def blocks(benchmark: DataFrame, block_windows: int) -> Iterator[list[tuple]]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of `docs` whose text overlaps no test item, all columns; tested in place, so no text is shuffled."""
-    masks, similarity, least, least_item = options.get("masks", MASKS), options.get("similarity", 0.8), options.get("least", 13), options.get("least_item", 5)
+    masks, similarity, least, least_item = options.get("masks", MASKS), options.get("similarity", 0.8), options.get("least", 13), options.get("least_item", 1)
     out = docs
     for block in blocks(benchmark.select("item_id", "text"), options.get("block_windows", 1_000_000)):
 

@@ -99,3 +99,32 @@ def sha1_base32(payload):
 
 def padding(lengths, counts, ends):
     return sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts, strict=True))
+
+
+def decontaminated(rows, items, similarity=(4, 5), least=13):
+    """(doc, item, doc_start, item_start, n_tokens, n_equal) of the best overlap of each text and item, over all diagonals."""
+    up, down = similarity
+    split = lambda t: LICENCE_WORD.findall((t or "").lower())
+    out = []
+    for d, text in rows:
+        t = split(text)
+        for i, item in items:
+            q = split(item)
+            best = None
+            for shift in range(-len(q) + 1, len(t)):
+                lo, hi = max(0, -shift), min(len(q), len(t) - shift)
+                same = [q[k] == t[k + shift] for k in range(lo, hi)]
+                whole = hi - lo == len(q)
+                found = []
+                if len(q) > least:
+                    spans = [(b - a, -b, a) for a in range(len(same)) for b in range(a + least, len(same) + 1) if same[a] and same[b - 1] and down * sum(same[a:b]) >= up * (b - a)]
+                    if spans:
+                        n, end, a = max(spans)
+                        found = [(n, sum(same[a : a + n]), -shift, lo + a)]
+                if not found and whole and q and down * sum(same) >= up * len(q):
+                    found = [(len(q), sum(same), -shift, 0)]
+                best = max([best, *found] if best else found, default=None)
+            if best:
+                n, equal, back, start = best
+                out.append((d, i, start - back, start, n, equal))
+    return sorted(out)

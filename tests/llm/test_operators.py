@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
-from brute import components, fingerprint, licence_base, padding, secret_base, sha1_base32, vectors, windows
+from brute import components, decontaminated, fingerprint, licence_base, padding, secret_base, sha1_base32, vectors, windows
 from pyspark.sql import functions as F
 
-from clausemill.llm import covertree, decontam, langid, licenses, packing, pagediff, secrets, simhash, substrings, warc
+from clausemill.llm import covertree, decontam, langid, licenses, packing, pagediff, secrets, simhash, substrings, tokens, warc
 
 SF = "/root/testdata/sf0.001"
 #: Columns with the names that operators use inside.
@@ -270,17 +270,34 @@ def test_redaction(spark):
 # 8
 
 
-@pytest.mark.parametrize("exact", [0, 1 << 29])
-def test_windows_against_definition(spark, docs, odd, exact):
+@pytest.mark.parametrize("part_runs", [2, 1 << 16])
+def test_windows_against_definition(spark, docs, odd, part_runs):
     rng = random.Random(6)
     rows = [(rng.randint(0, 25), " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))), "en") for _ in range(60)] + [(None, "a b " * 20, "en")]
     for df in (frame(spark, rows).repartition(4), docs.limit(60), odd):
-        got = substrings.deduplicate(df, bucket_windows=200, group_bytes=2_000, run_bytes=300, exact_windows=exact)
+        got = substrings.deduplicate(df, bucket_windows=200, group_bytes=2_000, run_bytes=300, part_runs=part_runs)
         assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()), key=str) == sorted(windows([(r["doc_id"], r["text"]) for r in df.collect()]), key=str)
         for r in got.collect():
             assert sum(s["end"] - s["first"] for s in r["intervals"]) == r["n_removed"]
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_alike_under_sums_of_powers(spark):
+    """Long words that every polynomial modulo 2**64 hashes alike are still two words; a passage in every run is removed but once."""
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([one] * 13)), (2, " ".join([other] * 13)), (3, " ".join([one] * 14))]
+    shared = " ".join(f"common{i}" for i in range(20))
+    rows += [(10 + i, f"{' '.join(f'own{i}x{j}' for j in range(30))} {shared}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = substrings.deduplicate(df, run_bytes=500, bucket_windows=100, part_runs=10)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == sorted(windows(rows))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()}[2] == 0
+
+
 def test_windows_of_nothing(empty):
     assert substrings.deduplicate(empty).count() == 0
 
@@ -336,17 +353,48 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontam.find(empty, bench).count() == 0 and decontam.find(odd, bench.limit(0)).count() == 0 and decontam.clean(odd, bench).count() == odd.count()
 
 
-def test_masks_find_every_shortest_overlap():
-    span = len(decontam.MASKS[0])
-    places = [[i for i, c in enumerate(m) if c == "1"] for m in decontam.MASKS]
-    for bad in itertools.combinations(range(1, 12), 2):
-        assert any(all(a + i not in bad for i in p) for a in range(13 - span + 1) for p in places)
+@pytest.mark.parametrize("size", range(13, 26))
+def test_masks_miss_no_overlap(size):
+    """All substitutions of a fifth of `size` tokens; of longer stretches one half of half the size or more has no more than its share."""
+    bits = [sum(1 << i for i, c in enumerate(m) if c == "1") << a for m in decontam.MASKS for a in range(size - len(m) + 1)]
+    bad = np.array(list(itertools.combinations(range(size), size // 5)))
+    same = (1 << size) - 1 - (1 << bad).sum(axis=1)
+    assert np.logical_or.reduce([same & b == b for b in bits]).all()
 
 
 def test_short_items(spark):
-    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "too short"), (3, None)], "item_id long, text string")
-    df = spark.createDataFrame([(1, "a one two, three four five six b"), (2, "one two three four five"), (3, "too short")], "doc_id long, text string")
-    assert [(r["doc_id"], r["item_id"], r["doc_start"]) for r in decontam.find(df, bench).collect()] == [(1, 1, 1)]
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "so short"), (3, None)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a one two, three four five six b"), (2, "one two three four five"), (3, "so short")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["doc_start"]) for r in decontam.find(df, bench).collect()) == [(1, 1, 1), (3, 2, 0)]
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.find(df, bench, least_item=5).collect()] == [(1, 1)]
+
+
+def test_overlaps_against_all_diagonals(spark, odd):
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choice("abcde" if i % 2 else "abcdefghijklmnop") for _ in range(rng.randint(0, 40)))) for i in range(12)] + [(3, None), (99, "la la " * 40)]
+    rows = [(i, " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 30)))) for i in range(20)] + [(50, "la la " * 100), (51, None)]
+    for i in range(60):
+        words = (items[rng.randrange(12)][1] or "").split()
+        part = words[rng.randint(0, 8) :]
+        rows.append((100 + i, " ".join(rng.choices("xyz", k=rng.randint(0, 5)) + [x if rng.random() < 0.85 else "zz" for x in part] + rng.choices("xyz", k=rng.randint(0, 5)))))
+    df, bench = frame(spark, [(i, t, "en") for i, t in rows]).repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    want = decontaminated(rows, items)
+    for block in (30, 1_000_000):
+        got = sorted(tuple(r)[:6] for r in decontam.find(df, bench, block_windows=block).collect())
+        assert got == want and len({x[5] / x[4] for x in want}) > 3
+    assert sorted(r["doc_id"] for r in decontam.clean(df, bench).collect()) == sorted(set(i for i, _ in rows) - {x[0] for x in want})
+
+
+def test_repeated_tokens_take_no_memory():
+    import tracemalloc
+
+    test = decontam.TestSet([1], ["la " * 800], decontam.MASKS, 1)
+    w = tokens.words(pa.array(["la " * 20_000]), tokens.ALNUM)
+    h = w.hashes()
+    tracemalloc.start()
+    got = decontam.overlaps(w, h, test, 0.8, 13)
+    assert got == [(0, 0, 0, 0, 800, 800)] and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
 
 
 def test_seed_places_stay_inside_texts():
@@ -356,7 +404,7 @@ def test_seed_places_stay_inside_texts():
         first = np.concatenate([[0], np.cumsum(sizes)])
         h = np.arange(first[-1], dtype=np.uint64)
         _, at = decontam.seed_hashes(h, first, decontam.MASKS[0], 0)
-        assert at.tolist() == [a + i for a, n in zip(first, sizes, strict=False) for i in range(max(0, n - 10))]
+        assert at.tolist() == [a + i for a, n in zip(first, sizes, strict=False) for i in range(max(0, n - len(decontam.MASKS[0]) + 1))]
 
 
 # 1

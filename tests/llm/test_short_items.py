@@ -20,11 +20,11 @@ def test_items_of_up_to_13_tokens_with_every_substitution(spark):
                     want.add((rows[-1][0], n, 1, 0, n, n - m) if n < 14 else (rows[-1][0], n))
     rows.append((len(rows), " ".join(items[7][1].split()[:7])))
     df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    found = {(r["doc_id"], r["item_id"], r["doc_start"], r["item_start"], r["n_tokens"], r["n_equal"]) if r["item_id"] < 14 else (r["doc_id"], r["item_id"]) for r in decontam.find(df, bench, least_item=1).collect()}
+    found = {(r["doc_id"], r["item_id"], r["doc_start"], r["item_start"], r["n_tokens"], r["n_equal"]) if r["item_id"] < 14 else (r["doc_id"], r["item_id"]) for r in decontam.find(df, bench).collect()}
     assert found == want
     assert {x[1] for x in want} == set(range(1, 15))
-    assert {r["doc_id"] for r in decontam.find(df, bench).collect()} == {x[0] for x in want if x[1] >= 5}
-    assert {r["doc_id"] for r in decontam.clean(df, bench).collect()} == {i for i, _ in rows} - {x[0] for x in want if x[1] >= 5}
+    assert {r["doc_id"] for r in decontam.find(df, bench, least_item=5).collect()} == {x[0] for x in want if x[1] >= 5}
+    assert {r["doc_id"] for r in decontam.clean(df, bench, least_item=5).collect()} == {i for i, _ in rows} - {x[0] for x in want if x[1] >= 5}
 
 
 def test_longest_stretch_begins_and_ends_equal():
