@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -434,8 +435,42 @@ def test_blocks_of_pages():
 )
 def test_roles(page, text):
     found = pagediff.lines(page)
-    top = max([r for r, _ in found if r >= pagediff.OPEN], default=None)
-    assert " ".join(t for r, t in found if r == top) == text
+    assert " ".join(t for (_, t), mine in zip(found, pagediff.body_of(found), strict=True) if mine) == text
+
+
+@pytest.mark.parametrize("name", ['class="legal"', 'class="social-science"', 'class="alert"', 'class="notice-board"', 'class="entry-content has-sidebar"', 'id="discussion"', 'id="search-and-rescue"', 'class="follow-up"'])
+def test_names_inside_an_article_hide_nothing_alone(name):
+    found = pagediff.lines(f"<article><h1>T</h1><div {name}><p>x</p></div><section {name}>y</section><math>1</math><object>z</object></article>")
+    assert [t for (_, t), m in zip(found, pagediff.body_of(found), strict=True) if m] == ["T", "x", "y", "1z"]
+
+
+def test_neighbours_confirm_names_inside_an_article(spark):
+    page = lambda own, notice: f"<article><p>{own}</p><div class='legal'>{notice}</div><p>Same words</p></article>"
+    rows = [(1, "http://h/1", page("Text one is long enough", "Terms apply")), (2, "http://h/2", page("Text two is long enough", "Terms apply")), (3, "http://h/3", page("Text three is long enough", "My own terms"))]
+    got = {r["page_id"]: r["text"] for r in pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Text one is long enough Same words", 2: "Text two is long enough Same words", 3: "Text three is long enough My own terms Same words"}
+
+
+def test_teasers_do_not_hide_the_main_part():
+    found = pagediff.lines(f"<main><h1>T</h1><p>{'word ' * 60}</p><article>Read this too</article></main>")
+    assert pagediff.body_of(found) == [True] * 3
+
+
+def test_given_pages_without_their_article_tags(spark):
+    """Differencing and names alone give the same texts as the tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "<(/?)article", "<$1div"))
+    both = [{r["page_id"]: r["text"] for r in pagediff.extract(d).collect()} for d in (pages, bare)]
+    assert {i: t for i, t in both[1].items() if t != both[0][i]} == {}
+
+
+def test_many_repeated_lines_take_little_time():
+    rng = random.Random(12)
+    began = time.perf_counter()
+    for a, b in (([1] * 100_000, [2, *[1] * 90_000, 3]), ([rng.randint(0, 3) for _ in range(20_000)], [rng.randint(0, 3) for _ in range(20_000)])):
+        shared = pagediff.common_lines(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert shared.sum() >= 0.6 * len(b)
+    assert time.perf_counter() - began < 60
 
 
 def test_longest_common_subsequence():
