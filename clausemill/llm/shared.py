@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clausemill.ship import map_arrow, shared_path, shared_root
 
@@ -25,8 +26,18 @@ def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def even_sample(df: DataFrame, order: Column, rows: int) -> DataFrame:
+    """The `rows` rows of smallest `order`, an evenly spread long (a hash).
+
+    Only rows under a bound, about twice as many, leave their tasks, so the driver gets no more however many tasks there are.
+    """
+    many = df.count()
+    bound = F.lit(2 * rows + 64) / F.lit(float(max(1, many)))
+    return df.where(order / F.lit(2.0**64) + 0.5 <= bound).orderBy(order).limit(rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["discard", "map_arrow", "saved", "shared_path", "shared_root", "table"]
+__all__ = ["discard", "even_sample", "map_arrow", "saved", "shared_path", "shared_root", "table"]

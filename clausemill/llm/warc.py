@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.llm.shared import map_arrow, saved, shared_path
+from clausemill.llm.shared import even_sample, map_arrow, saved, shared_path
 
 MAGIC = 0x184D2A5D
 _FRAME = 0xFD2FB528
@@ -144,13 +144,16 @@ def described(head: dict[str, str], block: bytes) -> dict:
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, roll_bytes: int = 32_000_000, sample_rows: int = 200) -> DataFrame:
     """Write archives into `folder`; returns their manifest (path, records, bytes), already made.
 
-    The dictionary is fitted on the first 16 KB of `sample_rows` pages. Tasks write files of their own names; those of
+    The dictionary is fitted on the first 16 KB of `sample_rows` pages, those of the smallest hashes of the id. Tasks write files of their own names; those of
     failed attempts are not in the manifest.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
-    sample = pages.select(F.substring(payload, 1, 16_384).alias("p"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).orderBy("h").limit(sample_rows)
-    held = dictionary([r["p"].encode() for r in sample.collect()])
+    # Rows that share an id (or have none) share a hash: the texts of at most sample_rows different hashes are fetched, one each.
+    hashed = pages.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    chosen = [r["h"] for r in even_sample(hashed.distinct(), F.col("h"), sample_rows).collect()]
+    start = pages.select(F.substring(payload, 1, 16_384).alias("p"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).where(F.col("h").isin(chosen))
+    held = dictionary([r["p"].encode() for r in start.groupBy("h").agg(F.min("p").alias("p")).orderBy("h").collect()])
     ids = saved(rows.where(F.octet_length("payload") >= min_bytes).select("digest", "page"), "warc-digests")
     first = ids.groupBy("digest").agg(F.min("page").alias("first"))
     revisits = ids.join(first, "digest").where(F.col("page") > F.col("first")).distinct()
@@ -200,7 +203,9 @@ def read(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
                 if n != expected:
                     raise WarcError(f"{path} has {n} records; {expected} were written")
 
-    few = manifest.repartition("path")
+    # An archive is a task's work; by number, since the manifest's few bytes would be put into one task.
+    many = manifest.count()
+    few = manifest.repartition(max(1, min(many, 20_000)), F.xxhash64("path"))
     out = map_arrow(few, run, _RECORD)
     return out.select(F.col("page").cast(id_type).alias("page_id"), "url", "payload", "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(id_type).alias("refers_to"))
 
