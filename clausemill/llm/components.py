@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.shared import discard, saved
 
+HOT_NODES = 20_000
 
-def components(edges: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, name: str = "components", most: int = 1000) -> DataFrame:
     """(u, v) edges over any ordered type -> (node, component), component the smallest node reachable.
 
-    Only nodes with an edge appear. Nothing is collected but two numbers a round; minima are partial aggregates, and the
-    joins back to a hot node's edges are such as AQE can split.
+    Only nodes with an edge appear. Nothing is collected but two numbers a round. Minima are partial aggregates; the edges
+    of hot nodes, of which there are fewer than `HOT_NODES`, meet them where they lie. Edge sets shrink or stay at every
+    round and rounds are few (of the order of the square of the longest path's logarithm); `most` only stops what
+    cannot end, such as edges that change between reads.
     """
     now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     mark = _mark(now)
@@ -20,11 +24,11 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
         if not mark[0]:
             break
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = _with_least(both, low, 2 * mark[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _with_least(large, low, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         after = saved(small.where("u <> v").distinct(), name)
         discard(now.sparkSession, now)
         now, last, mark = after, mark, _mark(after)
@@ -36,6 +40,14 @@ def components(edges: DataFrame, name: str = "components", most: int = 60) -> Da
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def _with_least(edges: DataFrame, low: DataFrame, many: int) -> DataFrame:
+    """`edges` with m of `low` (u, m, n). Nodes of more edges than many / HOT_NODES are fewer than HOT_NODES: they are broadcast."""
+    hot = F.col("n") > max(512, many // HOT_NODES)
+    few = F.broadcast(low.where(hot).select("u", "m"))
+    cold = edges.join(few.select("u"), "u", "left_anti").join(low.where(~hot).select("u", "m"), "u")
+    return edges.join(few, "u").select(*edges.columns, "m").union(cold.select(*edges.columns, "m"))
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Number and a sum of hashes of the edges; equal for equal sets."""
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]

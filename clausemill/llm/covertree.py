@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.llm.components import components
-from clausemill.llm.shared import map_arrow, saved
+from clausemill.llm.shared import even_sample, map_arrow, saved
 
 #: Bounds are loosened by this much, far above rounding errors of double precision.
 SLACK = 1e-9
@@ -229,7 +229,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, block_rows: int, max_
     spark = classes.sparkSession
     n = classes.count()
     cells = max(1, min(max_cells, -(-n // block_rows)))
-    centres = unit([r[0] for r in classes.orderBy("cls").limit(cells).select("key").collect()], dim)  # cls is a hash: a sample
+    centres = unit([r["key"] for r in even_sample(classes.select("cls", "key"), F.col("cls"), cells).collect()], dim)  # cls is a hash: a sample
     eps = float(np.sqrt(2.0 - 2.0 * threshold))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
