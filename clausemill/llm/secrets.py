@@ -4,7 +4,8 @@ Every version of a file is addressed by the SHA-256 of its content. The ledger h
 rule version that was scanned; a run scans only pairs that it lacks, appends them, and joins findings back to all paths.
 
 Cases: null text counts as empty; repeated rows share one blob and each get the findings; rows without an id take part
-like others; an empty table gives an empty result; columns beside `id_col` and `text_col` are ignored.
+like others; a pair that stands in the ledger more than once counts as one; an empty table gives an empty result; columns
+beside `id_col` and `text_col` are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ BASE = (
     Rule("hex", "[0-9a-f]{16,}", "[0-9a-f]{16}", 0, 16),
 )
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", "PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----[A-Za-z0-9+/=\s:,.;()-]*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----", "PRIVATE KEY"),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-[A-Za-z0-9-]{10}"),
     Rule("google", "AIza[0-9A-Za-z_-]{35}", "AIza[0-9A-Za-z_-]{35}"),
@@ -48,7 +49,7 @@ ADDED = (
 )
 RULES = BASE + ADDED
 #: Any text with a match of an added rule has one of these.
-_ADDED_HINT = "PRIVATE KEY-----|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10}|AIza[0-9A-Za-z_-]{35}|[rs]k_live_|eyJ[A-Za-z0-9_-]{8}"
+_ADDED_HINT = "PRIVATE KEY|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10}|AIza[0-9A-Za-z_-]{35}|[rs]k_live_|eyJ[A-Za-z0-9_-]{8}"
 LEDGER = "blob string, rule_version string, spans array<struct<start:long,kind_no:int,end:long>>"
 
 
@@ -103,6 +104,8 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     path = ledger_path or shared_path(spark, "secret-ledger")
     entries.write.mode("append").parquet(path)
     spans = spark.read.schema(LEDGER).parquet(path).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    # A pair stands twice where two runs met or one was repeated; both rows have the same spans.
+    spans = spans.groupBy("blob").agg(F.first("spans").alias("spans"))
     none = F.array().cast("array<struct<start:long,kind_no:int,end:long>>")
     return versions.join(spans, "blob", "left").select(F.col("path_id").alias(id_col), "blob", F.coalesce("spans", none).alias("spans"))
 

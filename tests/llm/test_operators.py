@@ -240,6 +240,9 @@ def test_secrets_against_definition(spark, docs, odd, empty):
         assert sorted(((r["doc_id"], r["s"]) for r in got), key=str) == sorted(((r["doc_id"], ",".join(secret_base(r["text"]))) for r in d.collect()), key=str)
     every = {r["doc_id"]: r["s"] for r in secrets.scan(df).select("doc_id", secrets.span_text(F.col("spans")).alias("s")).collect()}
     assert "pem:0:" in every[5] and "github:" in every[5]
+    keys = ["-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\nabc+/=\n-----END RSA PRIVATE KEY-----", "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2.0 (Linux)\n\nabcd\n=ab12\n-----END PGP PRIVATE KEY BLOCK-----"]
+    found = secrets.scan(frame(spark, [(i, f"x{k} y", "en") for i, k in enumerate(keys)])).select("doc_id", secrets.span_text(F.col("spans")).alias("s")).collect()
+    assert {r["doc_id"]: r["s"] for r in found} == {i: f"pem:1:{1 + len(k)}" for i, k in enumerate(keys)}
     assert secrets.scan(empty).count() == 0
 
 
@@ -251,6 +254,9 @@ def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     got = {r["doc_id"]: len(r["spans"]) for r in secrets.scan(a.union(b), path).collect()}
     assert spark.read.parquet(path).count() == 3 and got[1] == got[3] > 0 and got[2] == 0 and got[4] == 1
+    spark.read.parquet(path).write.mode("append").parquet(f"{path}2")
+    spark.read.parquet(path).write.mode("append").parquet(f"{path}2")
+    assert secrets.scan(a.union(b), f"{path}2").count() == 4 and spark.read.parquet(f"{path}2").count() == 6
     secrets.scan(a, path, secrets.BASE).collect()
     assert spark.read.parquet(path).select("rule_version").distinct().count() == 2
 
@@ -321,6 +327,16 @@ def test_vectors_against_definition(spark):
     assert covertree.near_duplicates(df.where("false")).count() == 0
 
 
+def test_components_of_hot_nodes_and_chains(spark, monkeypatch):
+    from clausemill.llm import components as parts
+
+    monkeypatch.setattr(parts, "HOT_NODES", 4)
+    edges = [(0, i) for i in range(1, 1500)] + [(1499, 5000), (6000, 5000)] + [(10_000 + i, 10_001 + i) for i in range(200)] + [(7, 7)]
+    got = {r["node"]: r["component"] for r in parts.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    ids = {x for e in edges for x in e}
+    assert got == components(ids, edges)
+
+
 def test_trees_cover():
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(size=(1, 6)) + 0.05 * rng.normal(size=(80, 6)) for _ in range(6)])
