@@ -1,7 +1,9 @@
 """The rules compiled into column expressions: pieces, one window pass, a filter. No Python runs on executors.
 
-A text is split after every special character. One window by document gives each piece its place, its context (pieces
-have a character at least, so 32 on each side hold all that a rule may read) and, by running sums, depths and parities.
+A text is split after every special character. One window by row gives each piece its place, its context (pieces have a
+character at least, so 32 on each side hold all that a rule may read) and, by running sums, depths and parities. Rows are
+numbered and dealt by their numbers before they are split: one exchange of whole texts, none of pieces, and rows that share
+their keys are texts of their own.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 from clausemill.config import REACH, LanguageConfig
 from clausemill.kernel import ABBREVIATION, ENCLOSURE, LINE, NEAR, SLICE_BYTES, Rules
 from clausemill.operators.segment import trim
-from clausemill.ship import spread
 
 #: Classes as the rules mean them.
 CLASSES = {"alpha": r"\p{IsAlphabetic}", "alnum": r"[\p{IsAlphabetic}\p{N}]", "digit": "[0-9]", "whitespace": r"\p{IsWhite_Space}"}
@@ -119,14 +120,15 @@ def suppressed(rules: Rules, left: Column, c: Column, right: Column) -> Column:
 
 
 def events(df: DataFrame, keys: list[str], language: str | LanguageConfig = "en", text_col: str = "text") -> DataFrame:
-    """keys, k, piece, end_char, end_byte, c, is_boundary: a row for each piece of each text."""
+    """keys, _row, k, piece, end_char, end_byte, c, is_boundary: a row for each piece of each text."""
     rules = Rules.of(language)
-    pieces = spread(df.select(*keys, text_col)).select(*keys, F.posexplode(F.split(text_col, f"(?<={special_class(rules)})", -1)).alias("k", "piece")).where("piece <> ''")
-    run = Window.partitionBy(*keys).orderBy("k")
+    dealt = df.select(*keys, text_col, F.monotonically_increasing_id().alias("_row")).repartition("_row")
+    pieces = dealt.select(*keys, "_row", F.posexplode(F.split(text_col, f"(?<={special_class(rules)})", -1)).alias("k", "piece")).where("piece <> ''")
+    run = Window.partitionBy("_row").orderBy("k")
     so_far = run.rowsBetween(Window.unboundedPreceding, 0)
     join = lambda col, a, b: F.array_join(F.collect_list(col).over(run.rowsBetween(a, b)), "")
     seen = pieces.select(
-        *keys, "k", "piece",
+        *keys, "_row", "k", "piece",
         F.sum(F.length("piece")).over(so_far).alias("end_char"), F.sum(F.octet_length("piece")).over(so_far).alias("end_byte"),
         F.right(join(F.right("piece", F.lit(REACH)), -(REACH - 1), 0), F.lit(REACH)).alias("upto"), F.left(join(F.left("piece", F.lit(REACH)), 1, REACH), F.lit(REACH)).alias("right"),
     ).withColumn("c", F.right("piece", F.lit(1))).withColumn("left", F.left("upto", F.length("upto") - 1))
@@ -151,7 +153,7 @@ def events(df: DataFrame, keys: list[str], language: str | LanguageConfig = "en"
     else:
         seen = seen.withColumn("outside", F.lit(True))
     boundary = F.when(c.isin(*sorted(rules.judged)) & F.col("outside"), judge(rules, left, c, right)).otherwise(False)
-    return seen.select(*keys, "k", "piece", "end_char", "end_byte", "c", boundary.alias("is_boundary"))
+    return seen.select(*keys, "_row", "k", "piece", "end_char", "end_byte", "c", boundary.alias("is_boundary"))
 
 
 def boundaries(df: DataFrame, keys: list[str], language: str | LanguageConfig = "en", text_col: str = "text") -> DataFrame:
@@ -160,12 +162,12 @@ def boundaries(df: DataFrame, keys: list[str], language: str | LanguageConfig =
 
 def sentences(df: DataFrame, keys: list[str], language: str | LanguageConfig = "en", text_col: str = "text", preserve_whitespace: bool = False) -> DataFrame:
     """keys, idx, text, start, end, put together from the pieces: the text does not travel beside them."""
-    run = Window.partitionBy(*keys).orderBy("k")
+    run = Window.partitionBy("_row").orderBy("k")
     numbered = events(df, keys, language, text_col).withColumn("no", F.coalesce(F.sum(F.col("is_boundary").cast("int")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "")
-    whole = numbered.groupBy(*keys, "no").agg(raw.alias("raw"), F.max("end_char").alias("end")).withColumn("start", F.col("end") - F.length("raw"))
+    whole = numbered.groupBy("_row", *keys, "no").agg(raw.alias("raw"), F.max("end_char").alias("end")).withColumn("start", F.col("end") - F.length("raw"))
     kept = whole.withColumn("bare", trim(F.col("raw"))).where("bare <> ''")
-    order = Window.partitionBy(*keys).orderBy("no")
+    order = Window.partitionBy("_row").orderBy("no")
     return kept.select(*keys, (F.row_number().over(order) - 1).cast("int").alias("idx"), (F.col("raw") if preserve_whitespace else F.col("bare")).alias("text"), "start", "end")
 
 

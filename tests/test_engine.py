@@ -2,9 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
+from clausemill.batch import Scanner, Texts
 from clausemill.config import LanguageConfig
+from clausemill.kernel import Rules
 from clausemill.operators import segment
 from clausemill.plans import catalyst
 from clausemill.queries import CUSTOM
@@ -56,3 +59,64 @@ def test_no_shuffle_and_only_needed_columns(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = segment.sentences(df, ["doc_id"], giant=None)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "source" not in plan.partition("ReadSchema")[2]
+
+
+REPEATED = [(1, "Good morning. We went out! It was (cold. very) late."), (1, "Hello there. Bye."), (1, "Hello there. Bye."), (2, None), (2, ""), (2, "   "), (None, "One. Two! \n \n Three"), (3, "A  .   . B. " * 50)]
+
+
+def test_rows_that_share_their_keys(spark):
+    """In every form each row is a text of its own."""
+    df = spark.createDataFrame(REPEATED, "id long, text string").repartition(3)
+    rules = Rules.of("en")
+    cut = lambda t: [(i, x, s, e) for i, (s, e, x) in enumerate(rules.slices(t or ""))]
+    want = sorted(((k, *row) for k, t in REPEATED for row in cut(t)), key=str)
+    columns = ["id", "idx", "text", "start", "end"]
+    for got in (segment.sentences(df, ["id"]), segment.giant_sentences(df, ["id"], size=7), segment.sentences(df, ["id"], giant=20), catalyst.sentences(df, ["id"])):
+        assert sorted(map(tuple, got.select(columns).collect()), key=str) == want
+    ends = sorted(((k, at) for k, t in REPEATED for at in rules.boundaries(t or "")), key=str)
+    for got in (segment.boundaries(df, ["id"]), segment.chunked_boundaries(df, ["id"], size=5), catalyst.boundaries(df, ["id"])):
+        assert sorted(map(tuple, got.select("id", "char_offset").collect()), key=str) == ends
+
+
+def test_language_by_row(spark):
+    rows = [(1, "en", "Dr. Who came. Fine"), (2, "ja", "はい。Dr. Who came. 「い。」う。"), (3, "xx", "Dr. Who came. Fine"), (4, None, "Dr. Who came. Fine"), (5, "ja", None)]
+    df = spark.createDataFrame(rows, "id long, lang string, text string").repartition(2)
+    rules = {x: Rules.of(x) for x in ("en", "ja")}
+    cut = lambda lang, t: [x for _, _, x in rules.get(lang, rules["en"]).slices(t or "")]
+    want = sorted((i, x) for i, lang, t in rows for x in cut(lang, t))
+    for got in (segment.sentences(df, ["id"], lang_col="lang"), segment.giant_sentences(df, ["id"], lang_col="lang", size=4)):
+        assert sorted(map(tuple, got.select("id", "text").collect())) == want
+    arrays = {r["id"]: r["sentences"] for r in segment.sentence_arrays(df, lang_col="lang").collect()}
+    assert {i: None if v is None else [x["text"] for x in v] for i, v in arrays.items()} == {i: None if t is None else cut(lang, t) for i, lang, t in rows}
+    assert {r["id"]: r["sentence_count"] for r in segment.stats(df, ["id"], lang_col="lang").collect()} == {i: len(rules.get(lang, rules["en"]).boundaries(t or "")) for i, lang, t in rows}
+
+
+def test_strength_of_ends(spark):
+    df = spark.createDataFrame([(1, "Yes! Fine. Why? End.")], "id long, text string")
+    assert [(r["char_offset"], r["is_strong"]) for r in segment.boundaries(df, ["id"]).orderBy("offset").collect()] == [(4, True), (10, False), (15, True), (20, False)]
+
+
+PARTS = ["Dr", "a", "I", "U", "S", "Ph", "etc", "Inc", "p", ".", "...", "…", "!", "?", "!?", "(", ")", '"', "'", "[", " ", "  ", "\n", "é", "É", "word", "the", "3", "no", "。", "「", "」", "！", "K", "　", "\xa0", "um", "cc", "i.e", " The ", "-", "“", "”", "😀", "x" * 40]
+
+
+@pytest.mark.parametrize("language", ["en", "ja", "custom"])
+def test_arrays_agree_with_the_kernel(language):
+    """The scan of many texts at once gives what the scan of each gives."""
+    rules = Rules.of(LanguageConfig.from_text(CUSTOM) if language == "custom" else language)
+    scanner, rng = Scanner(rules), random.Random(3)
+    for _ in range(150):
+        texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 60))) for _ in range(rng.randint(0, 20))] + [None, ""]
+        t = Texts(pa.array(texts, pa.string()))
+        ends, strength = scanner.ends(t)
+        row = t.row_of(ends)
+        assert list(zip(row.tolist(), (ends - t.first[row]).tolist(), strength.tolist(), strict=True)) == [(i, at, s) for i, x in enumerate(texts) for at, d, p, s in rules.scan(x or "").candidates if not p and (not d or max(d) <= 0)]
+        for keep in (False, True):
+            found = scanner.slices(t, keep)
+            got = list(zip(found.row.tolist(), found.idx.tolist(), (found.start - t.first[found.row]).tolist(), (found.end - t.first[found.row]).tolist(), found.text.to_pylist(), strict=True))
+            assert got == [(i, k, a, b, s) for i, x in enumerate(texts) for k, (a, b, s) in enumerate(rules.slices(x or "", keep))]
+
+
+def test_catalyst_form_moves_whole_texts_once(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = catalyst.sentences(df, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" in plan.partition("Exchange")[0]
