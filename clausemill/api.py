@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import Column, DataFrame
+
 from clausemill.config import REACH, LanguageConfig, bundled, resolve_code, supported_languages
 from clausemill.errors import ConfigurationError, InvalidLanguageError
 from clausemill.kernel import Rules, trimmed
@@ -61,6 +63,21 @@ def _options(threads: int | None, chunk_kb: int | None, mode: str) -> None:
         raise ConfigurationError("chunk_kb must be 1 or more")
 
 
+def _planned(size: int, threads: int | None, chunk_kb: int | None, mode: str) -> tuple[str, int, int]:
+    """(mode, threads, characters in a part) of a text of `size` characters: adaptive cuts texts of four parts or more."""
+    part = (chunk_kb or 256) * 1024
+    if mode == "adaptive":
+        mode = "parallel" if size >= 4 * part and (threads or os.cpu_count() or 1) > 1 else "sequential"
+    if mode == "sequential":
+        return mode, 1, max(1, part if chunk_kb else size)
+    return mode, threads or Config().parts(size), part
+
+
+def _ends(rules: Rules, text: str, threads: int | None, chunk_kb: int | None, mode: str) -> list[int]:
+    _, n, part = _planned(len(text), threads, chunk_kb, mode)
+    return rules.scan_parts(text, part, n).boundaries()
+
+
 def split(
     input: Any,
     *,
@@ -73,12 +90,24 @@ def split(
     return_details: bool = False,
     preserve_whitespace: bool = False,
     encoding: str = "utf-8",
-) -> list[str] | list[Sentence]:
-    """The sentences of one text. Threads, chunk size and mode are checked and never change the result."""
-    text = text_of(input, encoding)
-    _, rules = _language(language, language_config)
+) -> list[str] | list[Sentence] | DataFrame | Column:
+    """The sentences of one text. Mode, threads and chunk size say in what parts it is scanned and never change the result.
+
+    A DataFrame with a column `text` is given back with an array column `sentences` of (text, start, end); a string column
+    gives a column of arrays of sentences. There Spark's partitions are the parts, and the options are only checked.
+    """
     _options(threads, chunk_kb, execution_mode)
-    found = rules.slices(text, preserve_whitespace)
+    _, rules = _language(language, language_config)
+    if isinstance(input, DataFrame):
+        from clausemill.operators.segment import sentence_arrays
+
+        return sentence_arrays(input, rules.config, preserve_whitespace=preserve_whitespace)
+    if isinstance(input, Column):
+        from clausemill.functions.sql import sentences_of
+
+        return sentences_of(input, rules.config, preserve_whitespace)
+    text = text_of(input, encoding)
+    found = rules.slices(text, preserve_whitespace, _ends(rules, text, threads, chunk_kb, "parallel" if parallel and execution_mode == "adaptive" else execution_mode))
     return [Sentence(t, s, e) for s, e, t in found] if return_details else [t for _, _, t in found]
 
 
@@ -110,9 +139,12 @@ class Feeder:
         self.todo = ""  # not scanned: what may still get context from the next fragment
         self.open = ""  # scanned since the last sentence end
         self.depths, self.parity = list(rules.zero), 0
+        self.at_byte = 0  # where `open` begins
+        self.starts: list[int] = []  # bytes where the sentences given out by the last feed() begin, white space included
 
     def feed(self, fragment: str, last: bool = False) -> list[str]:
         self.todo += fragment
+        self.starts = []
         ready = len(self.todo) if last else max(0, len(self.todo) - REACH)
         out: list[str] = []
         if ready:
@@ -135,7 +167,11 @@ class Feeder:
 
     def _cut(self, piece: str) -> list[str]:
         bare = trimmed(piece)
-        return [piece if self.keep else bare] if bare else []
+        start, self.at_byte = self.at_byte, self.at_byte + len(piece.encode())
+        if not bare:
+            return []
+        self.starts.append(start)
+        return [piece if self.keep else bare]
 
 
 def split_large_file(file_path: str | Path, *, language: str | None = None, language_config: LanguageConfig | None = None, max_memory_mb: int = 100, overlap_size: int = 1024, encoding: str = "utf-8") -> Iterator[str]:
@@ -171,8 +207,12 @@ class SentenceSplitter:
 
     def split(self, input: Any, *, return_details: bool = False, encoding: str = "utf-8") -> list[str] | list[Sentence]:
         """As the function; but a text without sentences gives itself, trimmed, as the only one."""
+        if isinstance(input, DataFrame):
+            from clausemill.operators.segment import sentence_arrays
+
+            return sentence_arrays(input, self.rules.config, whole_if_none=True)
         text = text_of(input, encoding)
-        found = self.rules.slices(text) or [(0, len(text), trimmed(text))]
+        found = self.rules.slices(text, False, _ends(self.rules, text, self.threads, self.chunk_kb, self.execution_mode)) or [(0, len(text), trimmed(text))]
         return [Sentence(t, s, e) for s, e, t in found] if return_details else [t for _, _, t in found]
 
     def iter_split(self, input: Any, *, encoding: str = "utf-8", preserve_whitespace: bool = False) -> SentenceIterator:
@@ -182,11 +222,12 @@ class SentenceSplitter:
         """(byte offset, character offset) of each sentence end, and figures of the run."""
         began = time.perf_counter()
         text = text_of(input, encoding)
-        places = self.rules.boundaries(text)
+        mode, threads, part = _planned(len(text), self.threads, self.chunk_kb, self.execution_mode)
+        places = self.rules.scan_parts(text, part, threads).boundaries()
         from clausemill.operators.segment import byte_sizes
 
         n = len(places)
-        stats = {"bytes_processed": len(text.encode()), "chars_processed": len(text), "sentence_count": n, "avg_sentence_length": len(text) / n if n else 0.0, "strategy_used": "sequential", "chunks_processed": 1, "duration": time.perf_counter() - began}
+        stats = {"bytes_processed": len(text.encode()), "chars_processed": len(text), "sentence_count": n, "avg_sentence_length": len(text) / n if n else 0.0, "strategy_used": mode, "chunks_processed": max(1, -(-len(text) // part)), "threads_used": threads, "duration": time.perf_counter() - began}
         return list(zip(byte_sizes(text, places), places, strict=True)), stats
 
     @classmethod

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from pathlib import Path
 
+from clausemill.api import Feeder
 from clausemill.config import LanguageConfig, supported_languages
-from clausemill.errors import SegmentationError
+from clausemill.errors import InvalidInputError, SegmentationError
 from clausemill.kernel import Rules
 from clausemill.operators.segment import byte_sizes
 from clausemill.sources.readers import decoded, resolve
@@ -103,10 +105,16 @@ def _found(a: argparse.Namespace, rules: Rules):
         return
     paths = resolve(a.input)
     if not a.spark:
+        progress = Progress(len(paths), not a.quiet and sys.stderr.isatty())
         for path in paths:
             if a.verbose:
                 print(path, file=sys.stderr)
-            yield _pairs(rules, decoded(Path(path).read_bytes()))
+            if a.stream or should_stream(path, a.stream_chunk_mb):
+                yield from _streamed(rules, path, a.stream_chunk_mb)
+            else:
+                yield _pairs(rules, decoded(Path(path).read_bytes()))
+            progress.step(path)
+        progress.finish()
         return
     from pyspark.sql import SparkSession
 
@@ -123,6 +131,40 @@ def _pairs(rules: Rules, text: str) -> list[tuple[str, int]]:
     return [(t, b) for (_, _, t), b in zip(found, byte_sizes(text, [s for s, _, _ in found]), strict=True)]
 
 
+def should_stream(path: str, chunk_mb: int) -> bool:
+    """Files of more than ten parts are read in parts."""
+    return os.path.getsize(path) > 10 * chunk_mb * 1024 * 1024
+
+
+def _streamed(rules: Rules, path: str, chunk_mb: int):
+    """As `_pairs`, of a file that is read in parts; sums are carried, so the result is the same."""
+    feeder = Feeder(rules)
+    try:
+        with open(path, encoding="utf-8", newline="") as f:
+            while part := f.read(max(1, chunk_mb) * 1024 * 1024):
+                yield list(zip(feeder.feed(part), feeder.starts, strict=True))
+        yield list(zip(feeder.feed("", last=True), feeder.starts, strict=True))
+    except UnicodeDecodeError as e:
+        raise InvalidInputError(f"cannot decode as utf-8: {e}") from e
+
+
+class Progress:
+    """A bar of finished files on standard error, if `shown`."""
+
+    def __init__(self, total: int, shown: bool):
+        self.total, self.shown, self.done = total, shown, 0
+
+    def step(self, name: str) -> None:
+        self.done += 1
+        if self.shown:
+            full = 30 * self.done // max(1, self.total)
+            print(f"\r[{'=' * full}{' ' * (30 - full)}] {self.done}/{self.total} {Path(name).name[:40]:<40}", end="", file=sys.stderr, flush=True)
+
+    def finish(self) -> None:
+        if self.shown and self.done:
+            print(file=sys.stderr)
+
+
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     try:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
-from pyspark.sql.functions import pandas_udf, udtf
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
+from pyspark.sql.functions import arrow_udf, pandas_udf, udtf
 
-from clausemill.config import supported_languages
+from clausemill.batch import Scanner, Texts, runs
+from clausemill.config import LanguageConfig, supported_languages
 from clausemill.kernel import Rules
 from clausemill.operators.segment import byte_sizes
 from clausemill.ship import ship
@@ -53,4 +56,22 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("sentence_count", sentence_count)
 
 
-__all__ = ["Sentences", "register", "supported_languages"]
+def sentences_of(text: Column, language: str | LanguageConfig = "en", preserve_whitespace: bool = False) -> Column:
+    """The sentences of a string column as arrays; null for a null text. Texts of a batch are scanned at once."""
+    rules = Rules.of(language)
+    ship(SparkSession.active())
+
+    @arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        scanner, out = Scanner(rules), []
+        for part in runs(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            t = Texts(part.column("text"))
+            found = scanner.slices(t, preserve_whitespace)
+            at = np.searchsorted(found.row, np.arange(len(t) + 1)).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(at), found.text, mask=part.column("text").is_null()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
+
+    return run(text)
+
+
+__all__ = ["Sentences", "register", "sentences_of", "supported_languages"]

@@ -7,6 +7,7 @@ part of a text gives a `State` with sums relative to its start, and states of ne
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -265,14 +266,28 @@ class Rules:
                     out.append((at + 1 - first, now, parity, strength))
         return State(out, now, parity, end - first)
 
+    def scan_parts(self, text: str, size: int, threads: int = 1) -> State:
+        """The state of the text from parts of `size` characters, `threads` scanned at once; the same as of one scan."""
+        parts = [(a, min(a + size, len(text))) for a in range(0, len(text), size)]
+        if threads > 1 and len(parts) > 1:
+            with ThreadPoolExecutor(threads) as pool:
+                states = list(pool.map(lambda p: self.scan(text, *p), parts))
+        else:
+            states = [self.scan(text, a, b) for a, b in parts]
+        depths, parity, found = self.zero, 0, []
+        for (a, _), s in zip(parts, states, strict=True):
+            found += [(a + at, tuple(map(int.__add__, depths, d)), parity ^ p, x) for at, d, p, x in s.candidates]
+            depths, parity = tuple(map(int.__add__, depths, s.depths)), parity ^ s.parity
+        return State(found, depths, parity, len(text))
+
     def boundaries(self, text: str) -> list[int]:
         """Places after sentence ends, in characters."""
         return self.scan(text).boundaries()
 
-    def slices(self, text: str, preserve_whitespace: bool = False) -> list[tuple[int, int, str]]:
-        """(start, end, text) of the sentences and of an unterminated rest; blank ones are left out."""
+    def slices(self, text: str, preserve_whitespace: bool = False, ends: list[int] | None = None) -> list[tuple[int, int, str]]:
+        """(start, end, text) of the sentences and of an unterminated rest; blank ones are left out. `ends` if already known."""
         out, start = [], 0
-        for end in [*self.boundaries(text), len(text)]:
+        for end in [*(self.boundaries(text) if ends is None else ends), len(text)]:
             piece = text[start:end]
             bare = trimmed(piece)
             if bare:

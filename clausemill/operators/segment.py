@@ -237,15 +237,22 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", "")
 
 
-def sentence_arrays(df: DataFrame, language: Language = "en", text_col: str = "text", out_col: str = "sentences", lang_col: str | None = None) -> DataFrame:
-    """df with an array of (text, start, end) structs; null for a null text."""
+def sentence_arrays(df: DataFrame, language: Language = "en", text_col: str = "text", out_col: str = "sentences", lang_col: str | None = None, preserve_whitespace: bool = False, whole_if_none: bool = False) -> DataFrame:
+    """df with an array of (text, start, end) structs; null for a null text.
+
+    `whole_if_none`: a text without sentences has itself, trimmed, as the only one.
+    """
+    if whole_if_none:
+        none = F.array(F.struct(trim(F.col(text_col)).alias("text"), F.lit(0).cast("long").alias("start"), F.length(text_col).cast("long").alias("end")))
+        out = sentence_arrays(df, language, text_col, out_col, lang_col, preserve_whitespace)
+        return out.withColumn(out_col, F.when(F.size(out_col) == 0, none).otherwise(F.col(out_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanners = _Scanners(language, lang_col)
         for batch in batches:
             for scanner, part in scanners.parts(batch, text_col):
                 t = Texts(part.column(text_col))
-                found = scanner.slices(t)
+                found = scanner.slices(t, preserve_whitespace)
                 first = t.first[found.row]
                 each = pa.StructArray.from_arrays([found.text, pa.array(found.start - first), pa.array(found.end - first)], names=["text", "start", "end"])
                 at = np.searchsorted(found.row, np.arange(len(t) + 1)).astype(np.int32)

@@ -10,7 +10,7 @@ import sys
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.errors import InvalidInputError
@@ -21,19 +21,23 @@ ENCODINGS = {"utf-8": "UTF-8", "utf8": "UTF-8", "ascii": "US-ASCII", "us-ascii":
 
 def files(spark: SparkSession, paths: str | list[str], encoding: str = "utf-8") -> DataFrame:
     """path, text: whole files. Bytes that the encoding does not have raise; a byte-order mark stays."""
+    raw = spark.read.format("binaryFile").load(paths)
+    return raw.select("path", from_bytes(F.col("content"), encoding, F.col("path")).alias("text"))
+
+
+def from_bytes(content: Column, encoding: str = "utf-8", name: Column | None = None) -> Column:
+    """The text of a binary column; null stays null. Bytes that the encoding does not have raise and name the row."""
     charset = ENCODINGS.get(encoding.strip().lower())
     if charset is None:
         raise LookupError(f"unknown encoding: {encoding}")
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content", "length")
-    content = F.col("content")
     if charset == "UTF-8":
         good, text = F.is_valid_utf8(content.cast("string")), content.cast("string")
     elif charset == "US-ASCII":
         good, text = ~F.hex(content).rlike("^(..)*?[89A-F]."), F.decode(content, charset)
     else:
         good, text = F.lit(True), F.decode(content, charset)
-    bad = F.raise_error(F.concat(F.lit(f"not {charset}: "), F.col("path")))
-    return raw.select("path", F.when(good, text).otherwise(bad.cast("string")).alias("text"))
+    bad = F.raise_error(F.concat(F.lit(f"not {charset}: "), F.lit("a value") if name is None else name.cast("string")))
+    return F.when(content.isNull() | good, text).otherwise(bad.cast("string"))
 
 
 def resolve(patterns: list[str]) -> list[str]:

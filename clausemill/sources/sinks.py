@@ -24,8 +24,8 @@ def json_rows(sentences: DataFrame, keys: list[str]) -> DataFrame:
     return sentences.select(*keys, "idx", F.to_json(item).alias("value"))
 
 
-def markdown_rows(sentences: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """n, value: "n. sentence", numbered over all texts in order.
+def markdown_rows(sentences: DataFrame, order: list[str], partitions: int | None = None, footer: bool = False) -> DataFrame:
+    """n, value: "n. sentence", numbered over all texts in order; with `footer` a last row with their number.
 
     Numbers come from a range sort that is written to the shared folder with its partition numbers (planned anew they
     could differ), counts of these partitions, and a row number inside each: no task holds all rows.
@@ -39,7 +39,11 @@ def markdown_rows(sentences: DataFrame, order: list[str], partitions: int | None
     counts = placed.groupBy("_part").count()  # a row for each partition
     before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     n = F.row_number().over(Window.partitionBy("_part").orderBy(*sorts)) + F.col("_before")
-    return placed.join(F.broadcast(before), "_part").select(n.alias("n"), F.concat(n.cast("string"), F.lit(". "), F.col("text")).alias("value"))
+    items = placed.join(F.broadcast(before), "_part").select(n.alias("n"), F.concat(n.cast("string"), F.lit(". "), F.col("text")).alias("value"))
+    if not footer:
+        return items
+    total = F.coalesce(F.sum("count"), F.lit(0))
+    return items.union(counts.agg((total + 1).alias("n"), F.concat(F.lit("\n---\n*Total sentences: "), total.cast("string"), F.lit("*")).alias("value")))
 
 
 class Formatter:

@@ -101,3 +101,47 @@ def test_options_and_languages():
     with pytest.raises(clausemill.InvalidInputError):
         clausemill.split(b"\xff")
     assert clausemill.SentenceSplitter.with_language("jpn").process_stream(io.StringIO("はい。"))[0] == [(9, 3)]
+
+
+def test_modes_cut_texts_into_parts():
+    text = "It rained (a lot. really). We ran! " * 400
+    want = clausemill.split(text)
+    for mode in ("sequential", "parallel", "adaptive"):
+        for threads, chunk in ((1, 1), (3, 1), (None, None)):
+            assert clausemill.split(text, threads=threads, chunk_kb=chunk, execution_mode=mode) == want
+            places, stats = clausemill.SentenceSplitter(threads=threads, chunk_kb=chunk, execution_mode=mode).process(text)
+            assert len(places) == stats["sentence_count"] == len(want)
+            if mode == "parallel":
+                assert stats["strategy_used"] == "parallel" and stats["chunks_processed"] == (-(-len(text) // 1024) if chunk else 1)
+    assert clausemill.SentenceSplitter(threads=2, chunk_kb=1).process(text)[1]["strategy_used"] == "parallel"
+    assert clausemill.SentenceSplitter().process("Short. Text.")[1]["strategy_used"] == "sequential"
+
+
+def test_files_in_parts(tmp_path, capsys, monkeypatch):
+    from clausemill import cli
+
+    text = "Hé said (no. way) so. Then!  We ran…  And on\n" * 60_000
+    (tmp_path / "a.txt").write_text(text)
+    outputs = []
+    for more in ([], ["--stream", "--stream-chunk-mb", "1"]):
+        for kind in ("json", "text", "markdown"):
+            assert main(["process", "-i", str(tmp_path / "a.txt"), "-f", kind, "-q", *more]) == 0
+            outputs.append(capsys.readouterr().out)
+    assert outputs[:3] == outputs[3:] and len(text.encode()) > 2 << 20
+    assert not cli.should_stream(str(tmp_path / "a.txt"), 1)
+    monkeypatch.setattr(cli.os.path, "getsize", lambda p: 11 << 20)
+    assert cli.should_stream("x", 1)
+    (tmp_path / "bad.txt").write_bytes(b"ok. \xff")
+    assert main(["process", "-i", str(tmp_path / "bad.txt"), "--stream", "-q"]) == 1
+
+
+def test_progress(capsys):
+    from clausemill.cli import Progress
+
+    bar = Progress(2, True)
+    bar.step("/x/a.txt")
+    bar.step("/x/b.txt")
+    bar.finish()
+    assert "1/2 a.txt" in (err := capsys.readouterr().err) and "2/2 b.txt" in err
+    Progress(1, False).step("a")
+    assert capsys.readouterr().err == ""
