@@ -114,6 +114,8 @@ def decontaminated(rows, items, similarity=(4, 5), least=13):
             for shift in range(-len(q) + 1, len(t)):
                 lo, hi = max(0, -shift), min(len(q), len(t) - shift)
                 same = [q[k] == t[k + shift] for k in range(lo, hi)]
+                if down * sum(same) < up * min(least, len(q)):
+                    continue
                 whole = hi - lo == len(q)
                 found = []
                 if len(q) > least:
