@@ -105,7 +105,8 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     entries.write.mode("append").parquet(path)
     spans = spark.read.schema(LEDGER).parquet(path).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
     # A pair stands twice where two runs met or one was repeated; both rows have the same spans.
-    spans = spans.groupBy("blob").agg(F.first("spans").alias("spans"))
+    # Written, so that the join below reads both sides from exchanges and AQE can split a blob of many paths.
+    spans = saved(spans.groupBy("blob").agg(F.first("spans").alias("spans")), "secret-spans")
     none = F.array().cast("array<struct<start:long,kind_no:int,end:long>>")
     return versions.join(spans, "blob", "left").select(F.col("path_id").alias(id_col), "blob", F.coalesce("spans", none).alias("spans"))
 
