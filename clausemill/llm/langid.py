@@ -2,7 +2,8 @@
 
 A fixed public vocabulary gives the pieces; each language has a probability for each piece, fitted by EM on a bounded
 sample of labelled rows. The probability of a word is the sum, over all ways to cut it into pieces, of the products of
-their probabilities: a forward recursion, run for many words at a time. A text scores the sum of the logarithms over its
+their probabilities: a forward recursion, run for many words at a time (long words: one, in blocks of bytes, in time and
+memory that follow their length). A text scores the sum of the logarithms over its
 words; the language with the highest sum wins, ties by name.
 
 Cases: null texts and texts without a letter are `und` with score 0; rows without a label or an id do not train but are
@@ -12,6 +13,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +26,18 @@ from clausemill.llm.shared import map_arrow
 from clausemill.llm.tokens import _BASE, _INVERSE, _MASK, ALNUM, mixed, pieces, powers, words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Longest piece in bytes that is used, mark of a word's start included.
-LONGEST = 16
 _MARK = "▁".encode()
+#: Words of more bytes are scored one by one, in blocks of so many.
+LONG, BLOCK = 1024, 1 << 16
 
 
 def vocabulary(path: str = VOCABULARY) -> list[str]:
-    """The pieces that can stand in a lower-cased word: without control pieces, white space and capitals."""
+    """The pieces that can stand in a lower-cased word: without control pieces, white space, capitals and ASCII marks."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     every = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p for p in every if p == p.lower() and len(p.encode()) <= LONGEST and "▁" not in p[1:]} | {"▁"})
+    return sorted({p for p in every if p == p.lower() and "▁" not in p[1:] and all(ALNUM[b] for b in p.encode())} | {"▁"})
 
 
 class Pieces:
@@ -43,6 +45,8 @@ class Pieces:
 
     def __init__(self, vocabulary: list[str]):
         self.bits = max(10, (4 * len(vocabulary) - 1).bit_length())
+        #: Bytes of the longest piece.
+        self.longest = max(len(p.encode()) for p in vocabulary)
         self.key, self.number = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
         for i, p in enumerate(vocabulary):
             h = _hash(p.encode())
@@ -72,6 +76,7 @@ class Lattice:
     """All pieces that end at each byte of each of some words, every word led by the mark of a word's start."""
 
     def __init__(self, spelled: list[bytes], table: Pieces):
+        longest = self.longest = table.longest
         self.size = np.array([len(s) + len(_MARK) for s in spelled], np.int64)
         data = np.frombuffer(b"".join(x for s in spelled for x in (_MARK, s)), np.uint8)
         n = len(data)
@@ -80,8 +85,8 @@ class Lattice:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
         back = powers(_INVERSE, n + 1)
         into = np.arange(n) - np.repeat(self.start, self.size) + 1  # bytes of the word up to and with this one
-        self.piece = np.full((LONGEST + 1, n), -1, np.int32)
-        for size in range(1, LONGEST + 1):
+        self.piece = np.full((longest + 1, n), -1, np.int32)
+        for size in range(1, longest + 1):
             end = np.flatnonzero(into >= size) + 1
             self.piece[size, end - 1] = table.find(mixed((sums[end] - sums[end - size]) * back[end - size]))
         head = (data & 0xC0) != 0x80
@@ -94,30 +99,30 @@ class Lattice:
 
 def forward(lattice: Lattice, p: np.ndarray, unknown: float) -> np.ndarray:
     """log of each word's probability, (words, languages); p: (pieces, languages). Any character may also stand alone, at `unknown`."""
-    n, langs = len(lattice.size), p.shape[1]
+    n, langs, longest = len(lattice.size), p.shape[1], lattice.longest
     logs = np.zeros((n, langs))
     order = np.argsort(lattice.size, kind="stable")
     for group in np.array_split(order, max(1, n // 20_000 + 1)):
         if not len(group):
             continue
         size, start = lattice.size[group], lattice.start[group]
-        ring = np.zeros((LONGEST + 1, len(group), langs))
+        ring = np.zeros((longest + 1, len(group), langs))
         ring[0] = 1.0
         scale = np.zeros((len(group), langs))
         for t in range(1, int(size[-1]) + 1):
             alive = int(np.searchsorted(size, t))
             at = start[alive:] + t - 1
             now = np.zeros((len(group) - alive, langs))
-            for k in range(1, min(t, LONGEST) + 1):
+            for k in range(1, min(t, longest) + 1):
                 number = lattice.piece[k, at]
                 has = np.flatnonzero(number >= 0)
                 if len(has):
-                    now[has] += ring[(t - k) % (LONGEST + 1), alive + has] * p[number[has]]
+                    now[has] += ring[(t - k) % (longest + 1), alive + has] * p[number[has]]
             bare = np.flatnonzero(lattice.char_end[at])
             if len(bare):
                 step = lattice.char_size[at[bare]]
-                now[bare] += ring[(t - step) % (LONGEST + 1), alive + bare] * unknown
-            ring[t % (LONGEST + 1), alive:] = now
+                now[bare] += ring[(t - step) % (longest + 1), alive + bare] * unknown
+            ring[t % (longest + 1), alive:] = now
             if t % 8 == 0:
                 top = ring[:, alive:].max(axis=0)
                 top[top <= 0] = 1.0
@@ -125,10 +130,61 @@ def forward(lattice: Lattice, p: np.ndarray, unknown: float) -> np.ndarray:
                 scale[alive:] += np.log(top)
             done = np.searchsorted(size, t, side="right")
             if done > alive:
-                logs[group[alive:done]] = np.log(ring[t % (LONGEST + 1), alive:done] + 1e-300) + scale[alive:done]
+                logs[group[alive:done]] = np.log(ring[t % (longest + 1), alive:done] + 1e-300) + scale[alive:done]
     return logs
 
 
+def forward_long(word: bytes, table: Pieces, p: np.ndarray, unknown: float, block: int = BLOCK) -> np.ndarray:
+    """The same of one long word, from its bytes: block by block, with the sums of the last bytes carried on."""
+    data = _MARK + word
+    longest, langs = table.longest, range(p.shape[1])
+    size = longest + 1
+    ring = [[0.0] * size for _ in langs]
+    for r in ring:
+        r[0] = 1.0
+    scale = np.zeros(p.shape[1])
+    rows = p.T.tolist()
+    last_char = -1  # place of the byte before the character that is being read
+    for a in range(0, len(data), block):
+        low, b = max(0, a - longest), min(len(data), a + block)
+        part = np.frombuffer(data[low:b], np.uint8)
+        n = len(part)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
+        back = powers(_INVERSE, n + 1)
+        ends, sizes, numbers = [], [], []
+        for k in range(1, longest + 1):
+            end = np.arange(max(k, a - low + 1), n + 1)
+            found = table.find(mixed((sums[end] - sums[end - k]) * back[end - k]))
+            has = np.flatnonzero(found >= 0)
+            ends.append(end[has])
+            sizes.append(np.full(len(has), k))
+            numbers.append(found[has])
+        end, k_of, number = map(np.concatenate, (ends, sizes, numbers))
+        order = np.argsort(end, kind="stable")
+        first = np.searchsorted(end[order], np.arange(a - low + 1, n + 2)).tolist()
+        k_of, number = k_of[order].tolist(), number[order].tolist()
+        closes = [t + 1 == len(data) or (data[t + 1] & 0xC0) != 0x80 for t in range(a, b)]
+        for i, t in enumerate(range(a + 1, b + 1)):
+            arcs = range(first[i], first[i + 1])
+            alone = t - 1 - last_char if closes[i] else 0
+            if alone:
+                last_char = t - 1
+            for x in langs:
+                r, row = ring[x], rows[x]
+                total = unknown * r[(t - alone) % size] if alone else 0.0
+                for j in arcs:
+                    total += r[(t - k_of[j]) % size] * row[number[j]]
+                r[t % size] = total
+            if t % 8 == 0:
+                for x in langs:
+                    top = max(ring[x])
+                    if top > 0:
+                        ring[x] = [v / top for v in ring[x]]
+                        scale[x] += math.log(top)
+    return np.log(np.array([r[len(data) % size] for r in ring]) + 1e-300) + scale
+
+
 def fit(counts: dict[str, int], table: Pieces, n_pieces: int, unknown: float, rounds: int) -> np.ndarray:
     """Piece probabilities of one language by EM over its words and their counts; a small part goes to unseen pieces."""
     spelled = [w.encode() for w in counts]
@@ -137,7 +193,7 @@ def fit(counts: dict[str, int], table: Pieces, n_pieces: int, unknown: float, ro
     size, number, longest = lattice.size, lattice.piece, int(lattice.size.max(initial=0))
     start = np.zeros(n_pieces)
     flat = np.repeat(weight, size)
-    for k in range(1, LONGEST + 1):
+    for k in range(1, lattice.longest + 1):
         has = number[k] >= 0
         np.add.at(start, number[k, has], flat[has] * k)
     p = _smooth(start)
@@ -150,7 +206,7 @@ def fit(counts: dict[str, int], table: Pieces, n_pieces: int, unknown: float, ro
         step = lambda t, k: number[k, np.where(size >= t, at + t - 1, 0)]
         arcs = []
         for t in range(1, longest + 1):
-            for k in range(1, min(t, LONGEST) + 1):
+            for k in range(1, min(t, lattice.longest) + 1):
                 ids = step(t, k)
                 has = rows[(size >= t) & (ids >= 0)]
                 if len(has):
@@ -266,7 +322,11 @@ class Scorer:
         new = np.flatnonzero(~known)
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            out[part] = forward(Lattice([w.text(k) for k in first[part]], self.table), self.model.p, self.model.unknown)
+            long = (w.ends - w.starts)[first[part]] > LONG
+            if not long.all():
+                out[part[~long]] = forward(Lattice([w.text(k) for k in first[part[~long]]], self.table), self.model.p, self.model.unknown)
+            for k in part[long]:
+                out[k] = forward_long(w.text(first[k]), self.table, self.model.p, self.model.unknown)
         if len(new):
             if len(self.key) + len(new) > self.most:
                 self.key, self.value = key, out

@@ -164,6 +164,25 @@ def test_forward_sums_all_segmentations():
     np.testing.assert_allclose(got, [np.log(brute("▁" + w)) for w in words], rtol=1e-9)
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_long_words_are_scored_alike(block):
+    vocabulary = sorted({"▁", "▁a", "a", "b", "ab", "ba", "é", "bé", "aabbaabbaabb", "ééb"})
+    p = np.random.default_rng(1).random((len(vocabulary), 3)) / 4
+    table, rng = langid.Pieces(vocabulary), random.Random(2)
+    for n in (0, 1, 30, 400):
+        word = "".join(rng.choices(["a", "b", "é", "z", "aabbaabbaabb"], k=n)).encode()
+        np.testing.assert_allclose(langid.forward_long(word, table, p, 0.01, block), langid.forward(langid.Lattice([word], table), p, 0.01)[0], rtol=1e-9)
+
+
+def test_very_long_words_take_linear_time():
+    pieces = langid.vocabulary()
+    assert max(len(x.encode()) for x in pieces) > 16
+    table, p = langid.Pieces(pieces), np.full((len(pieces), 4), 1 / len(pieces))
+    word = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200_000)).encode()
+    began = time.perf_counter()
+    assert np.isfinite(langid.forward_long(word, table, p, 1e-7)).all() and time.perf_counter() - began < 20
+
+
 def test_language_accuracy_and_odd_rows(docs, odd, empty):
     model = langid.train(docs, sample_rows=100)
     held = docs.where(langid.held_out(F.col("doc_id")))
