@@ -37,7 +37,9 @@ def components(edges: DataFrame, name: str = "components", most: int = 1000) ->
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out._saved_path = now._saved_path
+    return out
 
 
 def _with_least(edges: DataFrame, low: DataFrame, many: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.llm.components import components
-from clausemill.llm.shared import even_sample, map_arrow, saved
+from clausemill.llm.shared import even_sample, map_arrow, saved, scratch
 
 #: Bounds are loosened by this much, far above rounding errors of double precision.
 SLACK = 1e-9
@@ -210,10 +210,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     keyed = saved(_keys(vectors, id_col, vector_col).withColumn("cls", F.xxhash64("key")), "cover-keys")
     classes = saved(keyed.where("key is not null").groupBy("cls").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("mult"), F.first("dim").alias("dim"), F.first("key").alias("key")), "cover-classes")
     out = None
-    for dim in sorted(r[0] for r in classes.select("dim").distinct().collect()):
-        found = _links(classes.where(F.col("dim") == dim), dim, threshold, block_rows, max_cells)
-        out = found if out is None else out.union(found)
-    found = saved(out if out is not None else spark.createDataFrame([], "u long, v long, n long"), "cover-links")
+    with scratch(spark) as s:
+        for dim in sorted(r[0] for r in classes.select("dim").distinct().collect()):
+            found = _links(classes.where(F.col("dim") == dim), dim, threshold, block_rows, max_cells)
+            out = found if out is None else out.union(found)
+        found = saved(out if out is not None else spark.createDataFrame([], "u long, v long, n long"), "cover-links")
+        s.keep(found)
     counts = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n"))
     joined = components(found.where("v is not null").select("u", "v"), "cover-components")
     named = classes.select("cls", "low", "mult").join(joined, F.col("cls") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cls"))

@@ -185,57 +185,64 @@ def forward_long(word: bytes, table: Pieces, p: np.ndarray, unknown: float, bloc
     return np.log(np.array([r[len(data) % size] for r in ring]) + 1e-300) + scale
 
 
-def fit(counts: dict[str, int], table: Pieces, n_pieces: int, unknown: float, rounds: int) -> np.ndarray:
-    """Piece probabilities of one language by EM over its words and their counts; a small part goes to unseen pieces."""
-    spelled = [w.encode() for w in counts]
-    weight = np.array(list(counts.values()), float)
-    lattice = Lattice(spelled, table)
-    size, number, longest = lattice.size, lattice.piece, int(lattice.size.max(initial=0))
+def fit(counts: dict[str, int], table: Pieces, n_pieces: int, unknown: float, rounds: int, group: int = 2048) -> np.ndarray:
+    """Piece probabilities of one language by EM over its words and their counts; a small part goes to unseen pieces.
+
+    Words are taken in groups of like size, so that no more than a group's lattice is in memory.
+    """
+    spelled = sorted(((w.encode(), n) for w, n in counts.items()), key=lambda x: (len(x[0]), x[0]))
+    groups = [spelled[a : a + group] for a in range(0, len(spelled), group)]
     start = np.zeros(n_pieces)
-    flat = np.repeat(weight, size)
-    for k in range(1, lattice.longest + 1):
-        has = number[k] >= 0
-        np.add.at(start, number[k, has], flat[has] * k)
+    for words_ in groups:
+        lattice = Lattice([w for w, _ in words_], table)
+        flat = np.repeat(np.array([n for _, n in words_], float), lattice.size)
+        for k in range(1, lattice.longest + 1):
+            has = lattice.piece[k] >= 0
+            np.add.at(start, lattice.piece[k, has], flat[has] * k)
     p = _smooth(start)
-    rows = np.arange(len(size))
     for _ in range(rounds):
-        alpha = np.zeros((len(size), longest + 1))
-        alpha[:, 0] = 1.0
-        at = lattice.start
-        boost = 64.0  # keeps products of small probabilities in range: a factor for each byte, the same for all segmentations
-        step = lambda t, k: number[k, np.where(size >= t, at + t - 1, 0)]
-        arcs = []
-        for t in range(1, longest + 1):
-            for k in range(1, min(t, lattice.longest) + 1):
-                ids = step(t, k)
-                has = rows[(size >= t) & (ids >= 0)]
-                if len(has):
-                    arcs.append((t, k, has, ids[has]))
-                    alpha[has, t] += alpha[has, t - k] * p[ids[has]] * boost**k
-            ends = rows[size >= t]
-            ends = ends[lattice.char_end[at[ends] + t - 1]]
-            c = lattice.char_size[at[ends] + t - 1]
-            alpha[ends, t] += alpha[ends, t - c] * unknown * boost**c
-        total = alpha[rows, size]
-        beta = np.zeros_like(alpha)
-        beta[rows, size] = np.where(total > 0, weight / np.where(total > 0, total, 1), 0)
         fresh = np.zeros(n_pieces)
-        by_end: dict[int, list] = {}
-        for arc in arcs:
-            by_end.setdefault(arc[0], []).append(arc)
-        for t in range(longest, 0, -1):
-            for _, k, has, ids in by_end.get(t, ()):
-                flow = p[ids] * boost**k * beta[has, t]
-                np.add.at(fresh, ids, alpha[has, t - k] * flow)
-                beta[has, t - k] += flow
-            ends = rows[size >= t]
-            ends = ends[lattice.char_end[at[ends] + t - 1]]
-            c = lattice.char_size[at[ends] + t - 1]
-            beta[ends, t - c] += unknown * boost**c * beta[ends, t]
+        for words_ in groups:
+            _expect(Lattice([w for w, _ in words_], table), np.array([n for _, n in words_], float), p, unknown, fresh)
         p = _smooth(fresh)
     return p
 
 
+def _expect(lattice: Lattice, weight: np.ndarray, p: np.ndarray, unknown: float, fresh: np.ndarray) -> None:
+    """Adds to `fresh` how often each piece is expected in the words, of which there are `weight`."""
+    size, number, longest, at = lattice.size, lattice.piece, int(lattice.size.max(initial=0)), lattice.start
+    rows = np.arange(len(size))
+    alpha = np.zeros((len(size), longest + 1))
+    alpha[:, 0] = 1.0
+    boost = 64.0  # keeps products of small probabilities in range: a factor for each byte, the same for all segmentations
+    arcs: list[list[tuple]] = [[] for _ in range(longest + 1)]
+    bare: list[tuple] = [()] * (longest + 1)
+    for t in range(1, longest + 1):
+        here = rows[size >= t]
+        end = at[here] + t - 1
+        for k in range(1, min(t, lattice.longest) + 1):
+            ids = number[k, end]
+            some = ids >= 0
+            if some.any():
+                has, ids = here[some], ids[some]
+                arcs[t].append((k, has, ids))
+                alpha[has, t] += alpha[has, t - k] * p[ids] * boost**k
+        closes = lattice.char_end[end]
+        ends, c = here[closes], lattice.char_size[end[closes]]
+        bare[t] = (ends, c)
+        alpha[ends, t] += alpha[ends, t - c] * unknown * boost**c
+    total = alpha[rows, size]
+    beta = np.zeros_like(alpha)
+    beta[rows, size] = np.where(total > 0, weight / np.where(total > 0, total, 1), 0)
+    for t in range(longest, 0, -1):
+        for k, has, ids in arcs[t]:
+            flow = p[ids] * boost**k * beta[has, t]
+            np.add.at(fresh, ids, alpha[has, t - k] * flow)
+            beta[has, t - k] += flow
+        ends, c = bare[t]
+        beta[ends, t - c] += unknown * boost**c * beta[ends, t]
+
+
 def _smooth(counts: np.ndarray, part: float = 0.05) -> np.ndarray:
     total = counts.sum()
     return (1 - part) * counts / (total or 1.0) + part / len(counts)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +17,38 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
+    if _open:
+        _open[-1].made.append(out)
     return out
 
 
+class Scratch:
+    """The tables that `saved` wrote while this was the innermost open one."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+        self.kept: set[str] = set()
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept |= {t._saved_path for t in tables}
+
+
+_open: list[Scratch] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Deletes the intermediates written inside at the end, but for those kept, which pass to the one around it."""
+    _open.append(own := Scratch())
+    try:
+        yield own
+    finally:
+        _open.pop()
+        discard(spark, *[t for t in own.made if t._saved_path not in own.kept])
+        if _open:
+            _open[-1].made += [t for t in own.made if t._saved_path in own.kept]
+
+
 def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Delete intermediates that nothing reads any more."""
     for t in tables:
@@ -40,4 +72,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["discard", "even_sample", "map_arrow", "saved", "shared_path", "shared_root", "table"]
+__all__ = ["discard", "even_sample", "map_arrow", "saved", "scratch", "shared_path", "shared_root", "table"]

@@ -23,11 +23,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausemill.llm.components import components
-from clausemill.llm.shared import map_arrow, saved
+from clausemill.llm.shared import map_arrow, saved, scratch
 from clausemill.llm.tokens import LOWER, NOT_SPACE, pieces, words
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -72,15 +73,18 @@ def ones(hashes: np.ndarray, run: int = 1 << 14) -> np.ndarray:
     return total
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id_col, fp), fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, *more: Column) -> DataFrame:
+    """(id_col, fp, more), fp the fingerprint as a signed long."""
+    narrow = docs.select(id_col, *more, text_col)
+    held = [c for c in narrow.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_col):
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(fingerprints_of(part.column(text_col), shingle).view(np.int64))], names=[id_col, "fp"])
+                prints = pa.array(fingerprints_of(part.column(text_col), shingle).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in held), prints], names=[*held, "fp"])
 
-    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return map_arrow(narrow, run, T.StructType([narrow.schema[c] for c in held] + [T.StructField("fp", T.LongType())]))
 
 
 def _remainder(v: np.ndarray) -> np.ndarray:
@@ -153,17 +157,33 @@ def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id_col, fingerprint, component_id), a row for each row of docs."""
-    prints = saved(fingerprints(docs, id_col, text_col, shingle), "simhash-fingerprints")
+    return _joined(fingerprints(docs, id_col, text_col, shingle), id_col).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _joined(prints: DataFrame, id_col: str) -> DataFrame:
+    """prints (id_col, fp, ...) with component, the smallest fingerprint reachable, and component_id, the smallest id."""
+    prints = saved(prints, "simhash-fingerprints")
     distinct = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
-    joined = components(links(distinct), "simhash-components")
+    with scratch(prints.sparkSession) as s:
+        joined = components(links(distinct), "simhash-components")
+        s.keep(joined)
     lows = distinct.join(joined, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
     least = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = lows.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(lows.select("fp", "component").join(least, "component"), "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """Rows of docs without those of a component that has a smaller id; all columns. Copies of one row count as one: the first stays."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    dropped = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    """One row of docs, all columns, for each component: that with the smallest id; rows without an id only where no other
+    is, and one of rows that repeat."""
+    found = _joined(fingerprints(docs, id_col, text_col, shingle, F.xxhash64(text_col).alias("tx")), id_col)
+    return one_row(docs, found.select(F.col(id_col).alias("id"), "tx", "component"), id_col, text_col)
+
+
+def one_row(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each component the row of docs with the smallest id (then of the smallest hash), all columns; rows without an
+    id only where no other is. `named` is (id, tx, component), a row for each row of docs."""
+    key = lambda i, tx: F.concat(F.when(i.isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), i.cast("string"))), F.lit(":"), tx.cast("string"))
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tx")).alias("m"))
+    kept = least.select(key(F.col("m.id"), F.col("m.tx")).alias("_row"))
+    rows = docs.withColumn("_row", key(F.col(id_col), F.xxhash64(text_col))).join(kept, "_row")
+    return rows.withColumn("_no", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))).where("_no = 1").select(*docs.columns)

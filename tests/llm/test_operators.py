@@ -1,5 +1,6 @@
 """Every operator against a plain version, and on nulls, empty and very long texts, ties, repeats, empty tables and clashing columns."""
 
+import collections
 import itertools
 import random
 import re
@@ -101,6 +102,33 @@ def test_packing_does_not_depend_on_shards(docs):
     assert a == b
 
 
+def test_tokens_in_batches(odd, empty, docs):
+    """All ids of all texts, in order, in the place that their lengths alone would get."""
+    with open(packing.VOCABULARY, "rb") as f:
+        tokens = packing.encoder(f.read())
+    for df, max_len in ((odd, 500), (docs, 64)):
+        out = packing.pack_tokens(df, max_len=max_len, buckets=3, token_budget=2000).collect()
+        rows = df.select("doc_id", "text").collect()
+        want = [(r["doc_id"], k, ids[k * max_len : (k + 1) * max_len]) for r in rows for ids in [tokens.encode_ordinary(r["text"] or "")] for k in range(max(1, -(-len(ids) // max_len)))]
+        assert sorted(((r["doc_id"], r["piece"], r["token_ids"]) for r in out), key=str) == sorted(want, key=str)
+        assert all(len(r["token_ids"]) == r["n_tokens"] <= r["bucket_len"] and r["first_token"] == r["piece"] * max_len for r in out)
+        places = [(r["bucket"], r["batch"], r["slot"]) for r in out]
+        assert len(set(places)) == len(places)
+        ends = packing.boundaries(*zip(*sorted(collections.Counter(len(x[2]) for x in want).items()), strict=True), 3)
+        assert sorted({r["bucket_len"] for r in out}) == ends
+    assert packing.pack_tokens(empty).count() == 0
+
+
+def test_tokens_of_long_runs():
+    with open(packing.VOCABULARY, "rb") as f:
+        tokens = packing.encoder(f.read())
+    began = time.perf_counter()
+    for c in (" ", "\n", "x", "é", "5", "%", "漢"):
+        text = c * 300_000
+        assert tokens.decode(tokens.encode_to_numpy(text, disallowed_special=()).tolist()) == text
+    assert time.perf_counter() - began < 60
+
+
 # 4
 
 
@@ -174,6 +202,41 @@ def test_long_words_are_scored_alike(block):
         np.testing.assert_allclose(langid.forward_long(word, table, p, 0.01, block), langid.forward(langid.Lattice([word], table), p, 0.01)[0], rtol=1e-9)
 
 
+def test_fit_against_plain_expectations():
+    vocabulary = sorted({"▁", "▁a", "a", "b", "ab", "ba", "é", "bé"})
+    counts = {"ab": 3, "abba": 2, "é": 1, "zéb": 4, "": 2, "bébé": 5, "a": 1}
+    pieces, unknown = {v: i for i, v in enumerate(vocabulary)}, 0.01
+
+    def cuts(word):
+        """All segmentations, as lists of pieces, None for a character alone."""
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in pieces:
+                yield from ([word[:k], *rest] for rest in cuts(word[k:]))
+        if word:
+            yield from ([None, *rest] for rest in cuts(word[1:]))
+
+    start = np.zeros(len(pieces))
+    for w, n in counts.items():
+        for i in range(len(w) + 1):
+            for k in range(1, len(w) + 2 - i):
+                if (part := ("▁" + w)[i : i + k]) in pieces:
+                    start[pieces[part]] += n * len(part.encode())
+    p = langid._smooth(start)
+    for _ in range(3):
+        fresh = np.zeros(len(pieces))
+        for w, n in counts.items():
+            ways = [(c, np.prod([unknown if x is None else p[pieces[x]] for x in c])) for c in cuts("▁" + w)]
+            for c, chance in ways:
+                for x in c:
+                    if x is not None:
+                        fresh[pieces[x]] += n * chance / sum(v for _, v in ways)
+        p = langid._smooth(fresh)
+    for group in (1, 3, 2048):
+        np.testing.assert_allclose(langid.fit(counts, langid.Pieces(vocabulary), len(vocabulary), unknown, 3, group), p, rtol=1e-9)
+
+
 def test_very_long_words_take_linear_time():
     pieces = langid.vocabulary()
     assert max(len(x.encode()) for x in pieces) > 16
@@ -245,6 +308,13 @@ def test_simhash_against_definition(docs, odd, empty):
     assert kept.columns == ["doc_id", *[c for c in odd.columns if c != "doc_id"]] and 4 in {r["doc_id"] for r in kept.collect()} and 5 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_one_row_of_each_component(spark):
+    rows = [(1, "same text here"), (1, "same text here"), (1, "SAME text here"), (2, "same text here"), (2, "of its own but longer"), (None, "no id in this row"), (None, "no id in this row"), (None, "of its own but longer")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(((r["doc_id"], r["text"].lower()) for r in simhash.keep_one(df).collect()), key=str)
+    assert got == [(1, "same text here"), (2, "of its own but longer"), (None, "no id in this row")]
+
+
 # 7
 
 

@@ -8,7 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from brute import LICENCE_WORD, SPACE_WORD, decontaminated, secret_base
+from brute import LICENCE_WORD, decontaminated, secret_base
 from test_nearcopies import kept
 
 import corpus_pipeline
@@ -55,10 +55,13 @@ def redacted(text):
 
 
 def packed(rows, max_len=2048, buckets=8, budget=65536):
-    """(doc, piece, first, n, bucket, bucket length, batch, slot) of all pieces of the texts."""
-    pieces = []
+    """(doc, piece, first, n, bucket, bucket length, batch, slot, ids) of all pieces of the texts."""
+    pieces, ids = [], {}
+    with open(packing.VOCABULARY, "rb") as f:
+        tokens = packing.encoder(f.read())
     for i, text in rows:
-        n = len(SPACE_WORD.findall(text or ""))
+        ids[i] = tokens.encode_ordinary(text)
+        n = len(ids[i])
         pieces += [(i, k, k * max_len, min(max_len, n - k * max_len)) for k in range(max(1, -(-n // max_len)))]
     many = sorted(collections.Counter(p[3] for p in pieces).items())
     ends = packing.boundaries([n for n, _ in many], [m for _, m in many], buckets)
@@ -69,7 +72,7 @@ def packed(rows, max_len=2048, buckets=8, budget=65536):
     for k, some in by.items():
         room = max(1, budget // max(1, ends[k]))
         some.sort(key=lambda p: (hashlib.md5(f"{p[0]}:{p[1]}".encode()).hexdigest(), p[3]))
-        out += [(*p, k, ends[k], at // room, at % room) for at, p in enumerate(some)]
+        out += [(*p, k, ends[k], at // room, at % room, ids[p[0]][p[2] : p[2] + p[3]]) for at, p in enumerate(some)]
     return sorted(out)
 
 
@@ -101,7 +104,7 @@ def test_every_stage_and_the_whole_run_against_plain_versions(spark):
     left = [(i, t) for i, t in left if i in kept(left)]
     left = [(i, redacted(t)) for i, t in left if i not in leaks]
     out = corpus_pipeline.run(spark, SF)
-    columns = ["doc_id", "piece", "first_token", "n_tokens", "bucket", "bucket_len", "batch", "slot"]
+    columns = ["doc_id", "piece", "first_token", "n_tokens", "bucket", "bucket_len", "batch", "slot", "token_ids"]
     assert sorted(map(tuple, out.select(columns).collect())) == packed(left)
 
 
