@@ -1,55 +1,5 @@
-"""Five stages from raw documents to packed batches. run() applies them to the documents of a folder of tables.
+"""The stages of `clausemill.llm.pipeline`, at the top of the repository."""
 
-Each stage takes all rows its predecessor kept, and all but the last return the columns of documents.
-"""
+from clausemill.llm.pipeline import ORACLE_SQL, STAGES, drop_leaks, drop_near_copies, identify_language, pack_batches, redact_secrets, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from clausemill.llm import decontam, langid, nearcopies, packing, secrets
-from clausemill.llm.shared import saved, table
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language with a posterior of a half, go."""
-    return langid.accepted(docs, langid.train(docs))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at Jaccard similarity 0.8 on five-word shingles that with the smallest id stays."""
-    return nearcopies.keep_one(docs)
-
-
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap a benchmark item go."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret is replaced by its kind in brackets; all documents stay."""
-    return secrets.redact(docs)
-
-
-def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in length buckets and token-budget batches."""
-    return packing.pack(docs)
-
-
-STAGES = [
-    ("language_id", identify_language),
-    ("simhash_near_dedup", drop_near_copies),
-    ("decontamination", drop_leaks),
-    ("secret_redaction", redact_secrets),
-    ("packing", pack_batches),
-]
-
-#: SQL cannot express the first stage.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "drop_leaks", "drop_near_copies", "identify_language", "pack_batches", "redact_secrets", "run"]
