@@ -8,6 +8,7 @@ are running sums over the batch, less what they are where a text begins.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cached_property
 from string import ascii_letters
 
@@ -202,32 +203,74 @@ class Scanner:
             code[left] |= (before & 31) << 5 * (k - 1)
         return out
 
-    def outside(self, t: Texts, around: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        """Which marks stand outside every enclosure of their text."""
+    def real(self, t: Texts, around: np.ndarray) -> np.ndarray:
+        """Those places of enclosing characters that are not suppressed."""
         row = t.row_of(around + 1)
         a, b = np.maximum(around - REACH, t.first[row]), np.minimum(around + 1 + REACH, t.first[row + 1])
         text, hidden = t.joined, self.rules.suppressed
-        real = np.fromiter((not hidden(text[x:y], m - x) for m, x, y in zip(around.tolist(), a.tolist(), b.tolist(), strict=True)), bool, len(around))
-        around = around[real]
+        kept = np.fromiter((not hidden(text[x:y], m - x) for m, x, y in zip(around.tolist(), a.tolist(), b.tolist(), strict=True)), bool, len(around))
+        return around[kept]
+
+    def steps(self, t: Texts, around: np.ndarray) -> Iterator[tuple[bool, int, np.ndarray]]:
+        """For each slot whether it is symmetric, its number and the sums before each of `around` and after the last."""
         chars = t.points[around]
-        before = np.searchsorted(around, marks, side="right")  # a mark that encloses too counts for itself
-        start = np.searchsorted(around, t.first[t.row_of(marks + 1)])
-        out = np.ones(len(marks), bool)
         for symmetric in (True, False):
             for slot in sorted({s for sym, s, _ in self.rules.enclosures.values() if sym == symmetric}):
                 step = np.zeros(len(around) + 1, np.int64)
                 for c, (sym, s, delta) in self.rules.enclosures.items():
                     if (sym, s) == (symmetric, slot):
                         step[1:][chars == ord(c)] = 1 if symmetric else delta
-                total = np.cumsum(step)
-                held = total[before] - total[start]
-                out &= held % 2 == 0 if symmetric else held <= 0
+                yield symmetric, slot, np.cumsum(step)
+
+    def outside(self, t: Texts, around: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Which marks stand outside every enclosure of their text."""
+        around = self.real(t, around)
+        before = np.searchsorted(around, marks, side="right")  # a mark that encloses too counts for itself
+        start = np.searchsorted(around, t.first[t.row_of(marks + 1)])
+        out = np.ones(len(marks), bool)
+        for symmetric, _, total in self.steps(t, around):
+            held = total[before] - total[start]
+            out &= held % 2 == 0 if symmetric else held <= 0
+        return out
+
+    def states(self, t: Texts, low: np.ndarray, high: np.ndarray) -> States:
+        """What the part low..high of each text adds; what stands around it is only looked at."""
+        at = np.flatnonzero(look_up(self.special, t.points))
+        row = t.row_of(at + 1)
+        at = at[(at >= low[row]) & (at < high[row])]
+        points = t.points[at]
+        marks = at[look_up(self.judged, points)]
+        marks = marks[self.judge(t, marks) > 0]
+        around = self.real(t, at[look_up(self.enclosing, points)])
+        row = t.row_of(marks + 1)
+        before, start = np.searchsorted(around, marks, side="right"), np.searchsorted(around, low)
+        end = np.searchsorted(around, high)
+        out = States(marks + 1, row, np.zeros((len(marks), self.rules.n_depths), np.int32), np.zeros(len(marks), np.int64), np.zeros((len(t), self.rules.n_depths), np.int32), np.zeros(len(t), np.int64))
+        for symmetric, slot, total in self.steps(t, around):
+            each, whole = total[before] - total[start[row]], total[end] - total[start]
+            if symmetric:
+                out.parity |= each % 2 << slot
+                out.last_parity |= whole % 2 << slot
+            else:
+                out.depths[:, slot], out.last_depths[:, slot] = each, whole
         return out
 
     def slices(self, t: Texts, preserve_whitespace: bool = False) -> Slices:
         return Slices(t, self.ends(t)[0], preserve_whitespace)
 
 
+@dataclass
+class States:
+    """Positive marks, their texts, depths and parities from the start of the part; and these sums at its end for each text."""
+
+    places: np.ndarray
+    row: np.ndarray
+    depths: np.ndarray
+    parity: np.ndarray
+    last_depths: np.ndarray
+    last_parity: np.ndarray
+
+
 class Slices:
     """The sentences of some texts and their unterminated rests, blank ones left out."""
 

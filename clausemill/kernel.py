@@ -98,7 +98,7 @@ class Rules:
         for f in config.suppression.fast_patterns:
             if f.char:
                 self.fast.setdefault(f.char[0], []).append(f)
-        self.suppressions = [checked(p.pattern) for p in config.suppression.regex_patterns]
+        self.suppressions = _joined([p.pattern for p in config.suppression.regex_patterns])
         self.exceptions = [(checked(e.regex), e.boundary) for e in config.ellipsis.exceptions]
         words = [w for w in config.abbreviations.words() if w]
         self.abbreviations = frozenset(_lowered(w) for w in words if len(w) <= ABBREVIATION)
@@ -304,19 +304,28 @@ def _is(c: str, kind: str) -> bool:
     return bool(KIND[c] & {"alpha": _ALPHABETIC, "alnum": _ALNUM, "whitespace": _SPACE}.get(kind, 0))
 
 
+def _joined(patterns: list[str]) -> list:
+    """The patterns as one alternative, or one by one if they cannot stand together."""
+    alone = [checked(p) for p in patterns]
+    if any("(?" in p.replace("(?:", "") or re.search(r"\\[1-9gk]", p) for p in patterns):  # flags, names or references
+        return alone
+    return [checked("|".join(f"(?:{p})" for p in patterns))] if patterns else []
+
+
 def _tail(text: str, size: int) -> str:
     """The last `size` bytes, from the start of the character that they begin in."""
-    n, i = 0, len(text)
-    while i > 0 and n < size:
-        i -= 1
-        n += len(text[i].encode())
-    return text[i:]
+    raw = text[-size:].encode()
+    cut = len(raw) - size
+    if cut <= 0:
+        return text[-size:]
+    while raw[cut] & 0xC0 == 0x80:
+        cut -= 1
+    return raw[cut:].decode()
 
 
 def _head(text: str, size: int) -> str:
     """The first `size` bytes, to the end of the character that they end in."""
-    n = i = 0
-    while i < len(text) and n < size:
-        n += len(text[i].encode())
-        i += 1
-    return text[:i]
+    raw, cut = text[:size].encode(), size
+    while cut < len(raw) and raw[cut] & 0xC0 == 0x80:
+        cut += 1
+    return raw[:cut].decode()

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +61,10 @@ def _narrow(df: DataFrame, keys: list[str], text_col: str, lang_col: str | None)
     return spread(df.select(*keys, F.col(text_col), *([lang_col] if lang_col and lang_col not in keys else [])))
 
 
+def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
 def _rows(batch: pa.RecordBatch, keys: list[str], row: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
     at = pa.array(row)
     made = [x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()]
@@ -166,19 +171,19 @@ def _states(parts: DataFrame, keys: list[str], language: Language, lang_col: str
     usual = Rules.of(language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named: dict[str, Rules] = {}
+        scanners = _Scanners(language, lang_col)
         for batch in batches:
-            out: list[dict] = []
-            langs = batch.column(lang_col).to_pylist() if lang_col else [None] * len(batch)
-            for lang, chunk, before, body, after, first in zip(langs, *(batch.column(c).to_pylist() for c in ("chunk", "before", "body", "after", "first")), strict=True):
-                if lang in _BUNDLED and lang not in named:
-                    named[lang] = Rules.of(lang)
-                state = named.get(lang, usual).scan(before + body + after, len(before), len(before) + len(body))
-                sizes = byte_sizes(body, [c[0] for c in state.candidates] + [len(body)])
-                found = [{"at": at, "byte": b, "depths": d, "parity": p} for (at, d, p, _), b in zip(state.candidates, sizes, strict=False)]
-                out.append({"chunk": chunk, "first": first, "bytes": sizes[-1], "depths": state.depths, "parity": state.parity, "found": found})
-            held = pa.RecordBatch.from_pylist(out, pa.schema([("chunk", pa.int32()), ("first", pa.int64()), ("bytes", pa.int64()), ("depths", pa.list_(pa.int32())), ("parity", pa.int64()), ("found", pa.list_(pa.struct([("at", pa.int64()), ("byte", pa.int64()), ("depths", pa.list_(pa.int32())), ("parity", pa.int64())])))]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *held.columns], names=[*keys, *held.schema.names])
+            text = pc.binary_join_element_wise(*(batch.column(c) for c in ("before", "body", "after")), "")
+            whole = pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "chunk", "first", "before", "body")), text], names=[*keys, "chunk", "first", "before", "body", "_text"])
+            for scanner, part in scanners.parts(whole, "_text"):
+                t = Texts(part.column("_text"))
+                low = t.first[:-1] + pc.utf8_length(part.column("before")).to_numpy(zero_copy_only=False)
+                high = low + pc.utf8_length(part.column("body")).to_numpy(zero_copy_only=False)
+                s = scanner.states(t, low, high)
+                flat = lambda x: _lists(x.shape[1] * np.arange(len(x) + 1), pa.array(x.ravel()))
+                first = t.bytes_of(low)
+                found = pa.StructArray.from_arrays([pa.array(s.places - low[s.row]), pa.array(t.bytes_of(s.places) - first[s.row]), flat(s.depths), pa.array(s.parity)], names=["at", "byte", "depths", "parity"])
+                yield _rows(part, [*keys, "chunk", "first"], np.arange(len(t)), {"bytes": t.bytes_of(high) - first, "depths": flat(s.last_depths), "parity": s.last_parity, "found": _lists(np.searchsorted(s.row, np.arange(len(t) + 1)), found)})
 
     states = map_arrow(spread(parts), run, T.StructType([parts.schema[k] for k in keys] + T._parse_datatype_string(kind).fields))
     earlier = Window.partitionBy("_row").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -116,6 +117,23 @@ def test_arrays_agree_with_the_kernel(language):
             assert got == [(i, k, a, b, s) for i, x in enumerate(texts) for k, (a, b, s) in enumerate(rules.slices(x or "", keep))]
 
 
+@pytest.mark.parametrize("language", ["en", "ja", "custom"])
+def test_states_of_parts_agree_with_the_kernel(language):
+    rules = Rules.of(LanguageConfig.from_text(CUSTOM) if language == "custom" else language)
+    scanner, rng = Scanner(rules), random.Random(5)
+    for _ in range(80):
+        texts = ["".join(rng.choices(PARTS, k=rng.randint(0, 40))) for _ in range(rng.randint(1, 12))]
+        t = Texts(pa.array(texts, pa.string()))
+        low = np.array([rng.randint(0, len(x)) for x in texts]) + t.first[:-1]
+        high = np.array([rng.randint(a, b) for a, b in zip(low, t.first[1:], strict=True)])
+        got = scanner.states(t, low, high)
+        for i, x in enumerate(texts):
+            a = t.first[i]
+            want, mine = rules.scan(x, int(low[i] - a), int(high[i] - a)), got.row == i
+            assert [(at, d, p) for at, d, p, _ in want.candidates] == list(zip((got.places[mine] - low[i]).tolist(), map(tuple, got.depths[mine].tolist()), got.parity[mine].tolist(), strict=True))
+            assert want.depths == tuple(got.last_depths[i].tolist()) and want.parity == got.last_parity[i]
+
+
 def test_catalyst_form_moves_whole_texts_once(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = catalyst.sentences(df, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
