@@ -72,3 +72,19 @@ def vectors(threshold: float = 0.95) -> str:
     reach AS (SELECT vec_id AS u, vec_id AS v FROM v UNION SELECT reach.u, p.v FROM reach JOIN p ON reach.v = p.u),
     c AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u), n AS (SELECT u, count(*) AS n FROM p GROUP BY u)
     SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON v.vec_id = c.u LEFT JOIN n ON v.vec_id = n.u"""
+
+
+def overlaps(least: int = 13) -> str:
+    """The best overlap of each document and item over all diagonals with an equal word; four fifths of it are equal."""
+    words = "regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    part = lambda key, table: f"SELECT {key}, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS at, len(ws) AS n FROM (SELECT {key}, {words} AS ws FROM {table})"
+    return f"""WITH d AS MATERIALIZED ({part('doc_id', 'documents')}), i AS MATERIALIZED ({part('item_id', 'benchmark')}),
+    hit AS MATERIALIZED (SELECT doc_id, item_id, d.at - i.at AS shift, i.at AS q, d.n AS n, i.n AS m FROM d JOIN i ON d.w = i.w),
+    diagonal AS MATERIALIZED (SELECT doc_id, item_id, shift, m, count(*) AS equal, shift >= 0 AND shift + m <= n AS whole FROM hit GROUP BY doc_id, item_id, shift, m, n
+        HAVING count(*) * 5 >= least(m, {least}) * 4),
+    placed AS MATERIALIZED (SELECT doc_id, item_id, shift, q, row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY q) AS r FROM hit SEMI JOIN diagonal USING (doc_id, item_id, shift) WHERE m > {least}),
+    stretch AS (SELECT a.doc_id, a.item_id, a.shift, a.q AS start, b.q - a.q + 1 AS size, b.r - a.r + 1 AS equal FROM placed a JOIN placed b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.shift = b.shift AND b.q >= a.q + {least - 1}
+        WHERE (b.r - a.r + 1) * 5 >= (b.q - a.q + 1) * 4 QUALIFY row_number() OVER (PARTITION BY a.doc_id, a.item_id, a.shift ORDER BY size DESC, b.q) = 1),
+    found AS (SELECT * FROM stretch UNION ALL SELECT doc_id, item_id, shift, 0, m, equal FROM diagonal ANTI JOIN stretch USING (doc_id, item_id, shift) WHERE whole AND equal * 5 >= m * 4)
+    SELECT doc_id, item_id, (start + shift)::BIGINT AS doc_start, start::BIGINT AS item_start, size::BIGINT AS n_tokens, equal::BIGINT AS n_equal, equal::DOUBLE / size AS similarity FROM found
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY size DESC, equal DESC, shift) = 1"""

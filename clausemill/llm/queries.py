@@ -75,4 +75,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_secret_ledger": oracle.secrets(),
         "op8_window_dedup": oracle.windows(),
         "op9_cover_tree": oracle.vectors(),
+        "op10_spaced_seeds": oracle.overlaps(),
     }
