@@ -1,8 +1,10 @@
 """Embedding near-duplicates by dual traversal of cover trees, exact for a cosine threshold.
 
 Vectors are scaled to length one in double precision; a cosine of t is a distance of sqrt(2 - 2t). A top level of at
-most `max_cells` centres, a sample of the vectors, deals all vectors to their nearest centre; crowded cells are dealt
-further into blocks. Each block holds a cover tree: nested sets of centres whose radii halve from level to level, every
+most `max_cells` centres, a sample of the vectors, deals all vectors to their nearest centre; a second level deals the
+vectors of a crowded cell to centres of its own, as many; what is still crowded (vectors close to each other) is cut into
+blocks by hash. Pairs of blocks are dealt in tiles, so that a block travels once for each tile it meets. Each block holds a
+cover tree: nested sets of centres whose radii halve from level to level, every
 node with the largest distance to its members. Pairs of cells, blocks and nodes are dropped when the distance of their
 centres exceeds both radii and the threshold; pairs of nodes that lie within it as a whole are counted without looking
 at their members; the rest ends in products of leaves. Where distances do not separate (vectors spread evenly over many
@@ -247,45 +249,95 @@ def _links(classes: DataFrame, dim: int, threshold: float, block_rows: int, max_
     dealt = saved(map_arrow(classes.select("cls", "mult", "key"), deal, "cell int, far double, cls long, mult long, key binary"), "cover-cells")
     size = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # max_cells rows at most
     radius = {r["cell"]: r["radius"] for r in size}
-    parts = spark.createDataFrame([(r["cell"], -(-r["n"] // block_rows)) for r in size], "cell int, parts int")
-    blocked = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("parts")).cast("int"))
+    dealt = _second(dealt, {r["cell"]: r["n"] for r in size}, dim, block_rows, max_cells)
+    many = dealt.groupBy("cell", "sub").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    blocked = dealt.join(many, ["cell", "sub"]).withColumn("part", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("parts")).cast("int"))
 
     def build(key: tuple, t: pa.Table) -> pa.Table:
         row = Block.build(t.column("cls").to_numpy(), t.column("mult").to_numpy(), t.column("key").to_pylist(), dim)
-        row |= {"cell": key[0].as_py(), "part": key[1].as_py()}
-        return pa.Table.from_pylist([row], schema=pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("cls", pa.list_(pa.int64())), ("mult", pa.list_(pa.int64())), ("vectors", pa.binary()), ("levels", pa.list_(pa.list_(pa.list_(pa.float64()))))]))
-
-    blocks = saved(blocked.select("cell", "part", "cls", "mult", "key").groupBy("cell", "part").applyInArrow(build, "cell int, part int, cls array<long>, mult array<long>, vectors binary, levels array<array<array<double>>>"), "cover-blocks")
+        root, far, _, _ = row["levels"][0]
+        x = unit([row["vectors"]], dim)
+        row |= {"cell": key[0].as_py(), "sub": key[1].as_py(), "part": key[2].as_py(), "parts": t.column("parts")[0].as_py(), "centre": x[int(root[0])].tobytes(), "far": float(far[0])}
+        return pa.Table.from_pylist([row], schema=pa.schema([("cell", pa.int32()), ("sub", pa.int32()), ("part", pa.int32()), ("parts", pa.int32()), ("centre", pa.binary()), ("far", pa.float64()), ("cls", pa.list_(pa.int64())), ("mult", pa.list_(pa.int64())), ("vectors", pa.binary()), ("levels", pa.list_(pa.list_(pa.list_(pa.float64()))))]))
+
+    kind = "cell int, sub int, part int, parts int, centre binary, far double, cls array<long>, mult array<long>, vectors binary, levels array<array<array<double>>>"
+    blocks = blocked.select("cell", "sub", "part", "parts", "cls", "mult", "key").groupBy("cell", "sub", "part").applyInArrow(build, kind)
+    blocks = saved(blocks.withColumn("b", F.concat_ws(":", "cell", "sub", "part")), "cover-blocks")
+    # Tiles of blocks that follow each other: of centres with a block each, or of one centre's blocks.
+    side = max(1, min(8, blocks.count() // 16, 24_000_000 // (8 * dim * block_rows)))
+    tile = F.when(F.col("parts") == 1, F.concat_ws(":", "cell", F.floor(F.col("sub") / side))).otherwise(F.concat_ws(":", "cell", "sub", F.floor(F.col("part") / side)))
+    names = blocks.select("cell", "b", "centre", "far", tile.alias("tile"))
     held = sorted(radius)
     apart = distance(centres[held], centres[held])
     near = [(a, b) for x, a in enumerate(held) for y, b in enumerate(held) if x <= y and apart[x, y] <= radius[a] + radius[b] + eps + SLACK]
     pairs = spark.createDataFrame(near, "a int, b int")  # max_cells squared / 2 rows at most
-    names = blocks.select("cell", "part")
-    left, right = names.toDF("a", "pa"), names.toDF("b", "pb")
-    every = pairs.join(left, "a").join(right, "b").where("a < b or pa <= pb")
-    turn = (F.col("a") + F.col("pa") + F.col("b") + F.col("pb")) % 2 == 1  # each block as often on either side
-    every = every.select(*[F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("pa", "pb"), ("pb", "pa"))])
-    whole = F.struct("cls", "mult", "vectors", "levels")
-    both = every.join(blocks.select(F.col("cell").alias("a"), F.col("part").alias("pa"), whole.alias("left")), ["a", "pa"]).join(blocks.select(F.col("cell").alias("b"), F.col("part").alias("pb"), whole.alias("right")), ["b", "pb"])
+    ends = lambda key, x: names.select(F.col("cell").alias(key), *[F.col(c).alias(f"{x}_{c}") for c in ("b", "centre", "far", "tile")])
+    every = pairs.join(ends("a", "x"), "a").join(ends("b", "y"), "b").where("a < b or x_b <= y_b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                a, b, pa_, pb_ = (batch.column(c)[k].as_py() for c in ("a", "b", "pa", "pb"))
-                same = (a, pa_) == (b, pb_)
-                x = Block.read(batch.column("left")[k].as_py(), dim)
-                y = x if same else Block.read(batch.column("right")[k].as_py(), dim)
-                count_x, count_y, edges = traverse(x, y, threshold, same)
-                if same:
-                    count_x -= _own(x, threshold)
-                rows = [(x.cls, count_x)] + ([] if same else [(y.cls, count_y)])
-                u = np.concatenate([*[c[m > 0] for c, m in rows], *[e[0] for e in edges]])
-                n = np.concatenate([*[m[m > 0] for _, m in rows], *[np.zeros(len(e[0]), np.int64) for e in edges]])
-                v = np.concatenate([*[e[1] for e in edges]] or [np.zeros(0, np.int64)])
-                blank = len(u) - len(v)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([None] * blank, pa.int64()) if not len(v) else pa.concat_arrays([pa.nulls(blank, pa.int64()), pa.array(v, pa.int64())]), pa.array(n, pa.int64())], names=["u", "v", "n"])
-
-    return map_arrow(both, run, "u long, v long, n long")
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<f8").reshape(-1, dim) for c in ("x_centre", "y_centre"))
+            d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.einsum("ij,ij->i", x, y)))
+            kept = pa.array(d <= batch.column("x_far").to_numpy() + batch.column("y_far").to_numpy() + eps + SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in ("x_b", "y_b", "x_tile", "y_tile")], names=["x", "y", "tx", "ty"])
+
+    met = map_arrow(every.select("x_b", "y_b", "x_tile", "y_tile", "x_centre", "y_centre", "x_far", "y_far"), meet, "x string, y string, tx string, ty string")
+    met = saved(met.select("x", "y", F.least("tx", "ty").alias("tx"), F.greatest("tx", "ty").alias("ty")), "cover-pairs")
+    lists = met.select(F.col("tx").alias("gx"), F.col("ty").alias("gy"), "x", "y").groupBy("gx", "gy").agg(F.collect_list(F.struct("x", "y")).alias("pairs"))  # as many as a tile has blocks, squared
+    needed = met.select("tx", "ty", F.explode(F.array("x", "y")).alias("b")).distinct()
+    sent = needed.join(blocks.select("b", "cls", "mult", "vectors", "levels"), "b")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = {r["b"]: Block.read(r, dim) for r in left.to_pylist()}
+        u, v, n = [], [], []
+        for pair in right.column("pairs")[0].as_py():
+            same = pair["x"] == pair["y"]
+            x, y = rows[pair["x"]], rows[pair["y"]]
+            count_x, count_y, edges = traverse(x, y, threshold, same)
+            if same:
+                count_x -= _own(x, threshold)
+            for block, count in [(x, count_x)] + ([] if same else [(y, count_y)]):
+                some = count > 0
+                u.append(block.cls[some])
+                v.append(pa.nulls(int(some.sum()), pa.int64()))
+                n.append(count[some])
+            for a, b in edges:
+                u.append(a)
+                v.append(pa.array(b, pa.int64()))
+                n.append(np.zeros(len(a), np.int64))
+        return pa.table({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.concat_arrays(v), "n": pa.array(np.concatenate(n), pa.int64())})
+
+    return sent.groupBy("tx", "ty").cogroup(lists.groupBy("gx", "gy")).applyInArrow(run, "u long, v long, n long")
+
+
+def _second(dealt: DataFrame, sizes: dict[int, int], dim: int, block_rows: int, most: int, run_rows: int = 65_536) -> DataFrame:
+    """dealt (cell, cls, mult, key) with sub, the nearest of the cell's own centres, about a centre for each block of the cell.
+
+    These are a sample of the cell's vectors; each run of a crowded cell's rows meets them in a task.
+    """
+    narrow = dealt.select("cell", "cls", "mult", "key")
+    big = [(c, min(most, -(-n // block_rows)) / n, -(-n // run_rows)) for c, n in sizes.items() if n > block_rows]
+    if not big:
+        return narrow.withColumn("sub", F.lit(0))
+    shares = F.broadcast(dealt.sparkSession.createDataFrame(big, "cell int, share double, runs int"))  # max_cells rows at most
+    crowded = narrow.join(shares, "cell")
+    chosen = crowded.where(F.xxhash64("cls", F.lit(5)) / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    centres = chosen.select(F.col("cell").alias("of"), F.col("cls").alias("cls"), F.col("key").alias("key"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("in"))
+    rows = crowded.withColumn("run", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("runs")).cast("int")).select("cell", "run", "cls", "mult", "key")
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        sub = np.zeros(len(left), np.int32)
+        if len(left) and len(right) > 1:
+            order = np.argsort(right.column("cls").to_numpy())
+            keys = right.column("key").to_pylist()
+            of = unit([keys[i] for i in order], dim)
+            for at in range(0, len(left), 4096):
+                sub[at : at + 4096] = distance(unit(left.column("key").slice(at, 4096).to_pylist(), dim), of).argmin(axis=1)
+        return left.select(["cell", "cls", "mult", "key"]).append_column("sub", pa.array(sub))
+
+    dealt_ = rows.groupBy("cell", "run").cogroup(centres.groupBy("of", "in")).applyInArrow(nearest, "cell int, cls long, mult long, key binary, sub int")
+    calm = narrow.join(shares.select("cell"), "cell", "left_anti").withColumn("sub", F.lit(0))
+    return saved(calm.unionByName(dealt_), "cover-subcells")
 
 
 def _own(x: Block, threshold: float) -> np.ndarray:

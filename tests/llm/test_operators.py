@@ -410,12 +410,22 @@ def test_vectors_against_definition(spark):
     rows += [rows[0], rows[0], (np.array(rows[1]) * 7).tolist(), None, [], [0.0] * 8, [float("nan")] + [1.0] * 7, [float("inf")] + [1.0] * 7, [1.0] * 7 + [None], [1.0, 2.0], [2.0, 4.0]]
     data = list(enumerate(rows))
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("key", F.lit(1)).withColumn("cls", F.lit(2)).withColumn("cell", F.lit(2)).repartition(3)
-    for size in (16, 4096):
-        got = sorted(map(tuple, covertree.near_duplicates(df, block_rows=size).collect()))
-        assert got == vectors(data)
+    want = vectors(data)
+    for size, most in ((16, 1024), (8, 2), (4096, 1024)):
+        assert sorted(map(tuple, covertree.near_duplicates(df, block_rows=size, max_cells=most).collect())) == want
     assert covertree.near_duplicates(df.where("false")).count() == 0
 
 
+def test_tiles_of_dense_and_spread_vectors(spark):
+    """A group of near vectors that fills many blocks, clusters and noise, in two levels of cells and tiles of blocks."""
+    rng = np.random.default_rng(9)
+    c = rng.normal(size=(30, 12))
+    rows = [(c[0] + rng.normal(size=12) * 0.01).tolist() for _ in range(300)] + [(c[i % 30] + rng.normal(size=12) * 0.2).tolist() for i in range(300)] + rng.normal(size=(200, 12)).tolist()
+    data = list(enumerate(rows))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, covertree.near_duplicates(df, block_rows=8, max_cells=5).collect())) == vectors(data)
+
+
 def test_components_of_hot_nodes_and_chains(spark, monkeypatch):
     from clausemill.llm import components as parts
 
