@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from clausemill.llm.licenses import TEMPLATES, words_of
 from clausemill.llm.secrets import BASE, RULES
 
 
@@ -88,3 +89,27 @@ def overlaps(least: int = 13) -> str:
     found AS (SELECT * FROM stretch UNION ALL SELECT doc_id, item_id, shift, 0, m, equal FROM diagonal ANTI JOIN stretch USING (doc_id, item_id, shift) WHERE whole AND equal * 5 >= m * 4)
     SELECT doc_id, item_id, (start + shift)::BIGINT AS doc_start, start::BIGINT AS item_start, size::BIGINT AS n_tokens, equal::BIGINT AS n_equal, equal::DOUBLE / size AS similarity FROM found
     QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY size DESC, equal DESC, shift) = 1"""
+
+
+def licences(support: float = 0.6) -> str:
+    """Phrases by position in the list of words; templates by key phrases and the start that most of their words imply."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    base, others = [t for t in TEMPLATES if t.base], [t for t in TEMPLATES if not t.base]
+    starts, labels = [], []
+    for t in base:
+        phrase = words_of(t.text)
+        test = " AND ".join(f"ws[i + {k + 1}] = {_text(w)}" for k, w in enumerate(phrase))
+        starts.append(f"[i FOR i IN range(0, greatest(len(ws) - {len(phrase) - 1}, 0)) IF {test}]")
+        labels.append(t.label)
+    keyed = " UNION ALL ".join(f"SELECT doc_id, {_text(t.label)} AS label, {len(words_of(t.text))} AS size FROM t WHERE " + " AND ".join(f"contains(whole, {_text(' ' + ' '.join(words_of(k)) + ' ')})" for k in t.keys) for t in others)
+    places = ", ".join(f"({_text(t.label)}, {k}, {_text(w)})" for t in others for k, w in enumerate(words_of(t.text)))
+    return f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+    t AS MATERIALIZED (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS whole, {", ".join(f"{x} AS s{i}" for i, x in enumerate(starts))} FROM w),
+    keyed AS MATERIALIZED ({keyed}), p(label, k, word) AS (VALUES {places}),
+    each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM t SEMI JOIN keyed USING (doc_id)),
+    votes AS (SELECT doc_id, label, size, place - k AS start, count(*) AS n FROM each JOIN p USING (word) JOIN keyed USING (doc_id, label) GROUP BY doc_id, label, size, place - k),
+    part AS (SELECT doc_id, label, max(n)::DOUBLE / size AS part FROM votes GROUP BY doc_id, label, size HAVING max(n)::DOUBLE / size >= {support}),
+    more AS (SELECT doc_id, list(label) AS found, max(part) AS part FROM part GROUP BY doc_id),
+    b AS (SELECT doc_id, len(ws) AS n, list_concat({', '.join(f's{i}' for i in range(len(base)))}) AS s, list_concat({', '.join(f"CASE WHEN len(s{i}) > 0 THEN [{_text(x)}] ELSE [] END" for i, x in enumerate(labels))}) AS base FROM t)
+    SELECT b.doc_id, n::BIGINT AS n_words, len(s)::BIGINT AS n_base, list_min(s)::BIGINT AS first_word, list_max(s)::BIGINT AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(base, coalesce(found, [])))), ',') AS labels, CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0.0::DOUBLE) END AS score FROM b LEFT JOIN more ON b.doc_id = more.doc_id"""

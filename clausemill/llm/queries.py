@@ -70,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_license_scan": oracle.licences(),
         "op3_length_buckets": oracle.packing(),
         "op4_zstd_warc": oracle.warc(),
         "op7_secret_ledger": oracle.secrets(),

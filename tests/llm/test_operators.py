@@ -69,6 +69,30 @@ def test_licences_of_the_method(spark, empty):
     assert licenses.scan(every).collect()[0]["labels"] == ",".join(sorted({t.label for t in licenses.TEMPLATES}))
 
 
+def test_licences_of_the_method_as_in_sql(spark, odd):
+    """Passages whole, cut, with words changed and keys missing, and many at once."""
+    import duckdb
+
+    from clausemill.llm import oracle
+
+    rng = random.Random(8)
+    rows = [(i, r["text"]) for i, r in enumerate(odd.collect()) if len(r["text"] or "") < 5000]
+    for i in range(150):
+        passages = []
+        for t in rng.sample(licenses.TEMPLATES, rng.randint(1, 4)):
+            words = t.text.split()
+            passages.append(" ".join(w if rng.random() < 0.9 else rng.choice(["x", "the", "license"]) for w in words[: rng.randint(len(words) // 2, len(words))]))
+        rows.append((100 + i, " and so ".join(passages)))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    result = con.execute(oracle.licences())
+    names = [d[0] for d in result.description]
+    want = sorted(result.fetchall(), key=str)
+    assert sorted((tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).select(names).collect()), key=str) == want
+    assert len({x[names.index("labels")] for x in want}) > 20 and len({x[names.index("score")] for x in want}) > 5
+
+
 # 3
 
 
