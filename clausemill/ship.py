@@ -52,7 +52,7 @@ def shared_root(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`, else the context's checkpoint folder, else (local masters, as in tests) a folder removed at exit."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="clausemill-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
