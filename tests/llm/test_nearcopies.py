@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import LOWER, SPACE_WORD, components
 
@@ -53,9 +55,9 @@ def test_rows_that_share_an_id(spark):
     assert got == [(1, "same text here"), (2, "of its own"), (None, "no id")]
 
 
-@pytest.mark.parametrize("salted", [8, 4096])
-def test_crowded_groups_connect_what_is_near(spark, monkeypatch, salted):
-    """Groups of near copies of one text each, that all share a line; chains of copies of copies; no key's texts in one task."""
+@pytest.mark.parametrize("crowded", [4, 64])
+def test_crowded_groups_connect_what_is_near(spark, crowded):
+    """Groups of near copies of one text each, that all share a line; chains of copies of copies."""
     rng = random.Random(3)
     line = "this common line stands in all texts of this test without any change"
     texts = []
@@ -68,8 +70,19 @@ def test_crowded_groups_connect_what_is_near(spark, monkeypatch, salted):
     texts += [f"{' '.join(rng.choices('abcdefghij', k=9))} {line}" for _ in range(40)] + [line] * 3
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    monkeypatch.setattr(nearcopies, "SALTED", salted)
-    monkeypatch.setattr(nearcopies, "HOT_NODES", 10**9)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = kept(rows)
-    assert {r["doc_id"] for r in nearcopies.keep_one(df, crowded=4).collect()} == want and 10 < len(want) < 150
+    assert {r["doc_id"] for r in nearcopies.keep_one(df, crowded=crowded).collect()} == want and 10 < len(want) < 150
+
+
+def test_groups_connect_what_is_near():
+    rng = random.Random(3)
+    texts = []
+    for _ in range(4):
+        base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(150)]
+        texts += [near(rng, base, x) for x in [0.0] + [0.02] * 25]
+    rng.shuffle(texts)
+    sets = [s.view(np.int64) for s in nearcopies.shingles_of(pa.array(texts))]
+    prints = np.stack([nearcopies.fingerprint(s.view(np.uint64)) for s in sets]).view(np.int64)
+    want = components(range(len(texts)), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))])
+    assert components(range(len(texts)), nearcopies.group_links(np.arange(len(texts)), prints, sets, 0.8)) == want
