@@ -1,12 +1,15 @@
-"""Near copies of texts on word shingles: all pairs of Jaccard similarity 0.8 or more, none missed by a radius of bits.
+"""Near copies of texts by SimHash with Golay-code keys, then by word shingles: all pairs of Jaccard similarity 0.8 or more.
 
-A text is the set of hashes of its five-word shingles. Of two sets of similarity s each shares one of its first
-n - ceil(s n) + 1 hashes, in the order of the hashes, with the other (prefix filter): these are its keys. Texts with a key
-in common are compared by size and, from `SMALL` shingles on, by a SimHash fingerprint of 256 bits, of which similar sets
-differ in 39 on average at similarity 0.8 (standard deviation 6) and `RADIUS` = 80 are let through; what is left is
-verified on the sets themselves.
+A text is the set of hashes of its five-word shingles. Texts of `SMALL` shingles or more that could be similar are told by
+a SimHash fingerprint of 256 bits, of which similar sets differ in 39 on average at similarity 0.8 (standard deviation 6) and
+`RADIUS` = 80 are let through; what is left is verified on the sets themselves.
 
-Keys of few texts are joined in pairs. Texts of a crowded key are linked in one task, where a text is compared only with
+First texts meet by the Golay keys of their fingerprints (`simhash.wide_keys`): each is paired with the first text of each
+of its keys, pairs are verified, and texts linked to the same first one are a part. Keys miss some pairs, so an exact way
+follows for the rest: of two sets of similarity s each shares one of its first n - ceil(s n) + 1 hashes, in the order of the
+hashes, with the other (prefix filter). Texts of different parts with such a hash in common are compared in the same manner.
+
+Hashes of few texts are joined in pairs. Texts of a crowded hash are linked in one task, where a text is compared only with
 texts of other components, those in the middle of the group first.
 
 Cases: texts without words (null, empty, blank) are copies of each other; shorter texts than a shingle are one shingle;
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from clausemill.llm.components import components
 from clausemill.llm.shared import map_arrow, saved, scratch
-from clausemill.llm.simhash import one_row, ones
+from clausemill.llm.simhash import one_row, ones, wide_keys
 from clausemill.llm.tokens import NOT_SPACE, mixed, pieces, powers, words
 
 CROWDED, SMALL, RADIUS = 64, 32, 80
@@ -78,6 +81,21 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar
     return map_arrow(texts, run, f"id {docs.schema[id_col].dataType.simpleString()}, tx long, node long, n int, f0 long, f1 long, f2 long, f3 long, keys array<long>")
 
 
+def golay_pairs(prints: DataFrame) -> DataFrame:
+    """(u, v) pairs of nodes of prints (node, f0..f3): each text with the first of each of its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 5_000):
+                part = batch.slice(at, 5_000)
+                place, key = wide_keys(np.stack([part.column(f).to_numpy() for f in _PRINT], axis=1).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column("node").take(pa.array(place))], names=["key", "node"])
+
+    keyed = map_arrow(prints.select("node", *_PRINT), run, "key long, node long")
+    least = F.min("node").over(Window.partitionBy("key"))
+    return keyed.select(least.alias("u"), F.col("node").alias("v")).where("u <> v").distinct()
+
+
 def _sets(docs: DataFrame, chosen: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """(node, shingles) of the texts whose hash is in chosen (tx, node)."""
 
@@ -91,13 +109,13 @@ def _sets(docs: DataFrame, chosen: DataFrame, text_col: str, shingle: int) -> Da
     return map_arrow(texts, run, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def has_near(prints: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
-    """Which sets have another of the group that size and fingerprint do not rule out."""
+def has_near(prints: np.ndarray, size: np.ndarray, similarity: float, part: np.ndarray) -> np.ndarray:
+    """Which sets have one of another part in the group that size and fingerprint do not rule out."""
     prints, out = prints.view(np.uint64), np.zeros(len(size), bool)
+    if (part == part[0]).all():
+        return out
     for p in range(len(size)):
-        near = _near(prints, size, p, similarity)
-        near[p] = False
-        out[p] = near.any()
+        out[p] = (_near(prints, size, p, similarity) & (part != part[p])).any()
     return out
 
 
@@ -106,17 +124,18 @@ def _near(prints: np.ndarray, size: np.ndarray, p: int, similarity: float) -> np
     return (low >= similarity * high - 1e-9) & ((low < SMALL) | (np.bitwise_count(prints ^ prints[p]).sum(axis=1) <= RADIUS))
 
 
-def group_links(node: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of similar sets of one group, enough to connect all that are."""
+def group_links(node: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float, part: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of similar sets of one group, enough to connect all that are; sets of one `part` are connected already."""
     n, prints = len(node), prints.view(np.uint64)  # of negative numbers numpy counts the bits of their amount
     size = np.array([len(s) for s in sets])
     start = np.concatenate([[0], np.cumsum(size)])
     _, flat, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     has = np.zeros(len(many), bool)
     middle = np.add.reduceat(many[flat], start[:-1]) / size
-    part, done, out = np.arange(n), np.zeros(n, bool), []
+    part = np.arange(n) if part is None else np.unique(part, return_inverse=True)[1]
+    done, out = np.zeros(n, bool), []
     order = np.argsort(-middle, kind="stable").tolist()
-    largest = 0
+    largest = int(np.bincount(part).argmax())
     while order:
         for p in order:
             if part[p] == largest and done.any():
@@ -142,40 +161,66 @@ def group_links(node: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], si
     return out
 
 
+def _alike(similarity: float) -> str:
+    """Of two rows a and b with n and a fingerprint: whether size and fingerprint let them through."""
+    far = " + ".join(f"bit_count(a.{f} ^ b.{f})" for f in _PRINT)
+    return f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 AND (least(a.n, b.n) < {SMALL} OR {far} <= {RADIUS})"
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of which the sets are similar."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    both = both.withColumn("both", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("u", "v")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+
+
 def links(docs: DataFrame, sketches: DataFrame, text_col: str, shingle: int, similarity: float, crowded: int) -> DataFrame:
-    """(u, v) pairs of nodes of similarity `similarity` or more, enough to connect all that are."""
+    """(u, v) pairs of nodes, enough to connect all of similarity `similarity` or more, and no others."""
+    prints = saved(sketches.select("node", "tx", "n", *_PRINT).dropDuplicates(["node"]), "near-prints")
+    a, b = prints.withColumnRenamed("node", "u").alias("a"), prints.withColumnRenamed("node", "v").alias("b")
+    met = golay_pairs(prints).join(a, "u").join(b, "v").where(_alike(similarity)).select("u", "v")
+    met = saved(met, "near-golay-pairs")
+    first = saved(_sets(docs, prints.select("tx", "node").join(_ends(met), "node", "left_semi"), text_col, shingle), "near-golay-sets")
+    found = saved(_verified(met, first, similarity), "near-golay-links")
+    # Not whole components, which take many jobs: texts of one part must be connected, not all connected ones in one part.
+    parts = found.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("part"))
+    return found.union(_rest(docs, sketches, prints, parts, first, text_col, shingle, similarity, crowded))
+
+
+def _rest(docs: DataFrame, sketches: DataFrame, prints: DataFrame, parts: DataFrame, first: DataFrame, text_col: str, shingle: int, similarity: float, crowded: int) -> DataFrame:
+    """(u, v) pairs of nodes of similarity `similarity` or more, enough to connect all that are in different `parts`
+    (node, part; other nodes are parts of their own); `first` are sets known already."""
+    parts = prints.join(parts, "node", "left").select("node", "n", *_PRINT, F.coalesce("part", "node").alias("part"))
     keyed = sketches.dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     many = keyed.withColumn("count", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("count > 1")
-    prints = sketches.select("node", "tx", "n", *_PRINT).dropDuplicates(["node"])
-    shared = saved(many.join(prints, "node"), "near-shared")
+    shared = saved(many.join(parts, "node"), "near-shared")
     few = shared.where(F.col("count") <= crowded)
-    far = " + ".join(f"bit_count(a.{f} ^ b.{f})" for f in _PRINT)
-    alike = f"a.node < b.node AND least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9 AND (least(a.n, b.n) < {SMALL} OR {far} <= {RADIUS})"
-    pairs = few.alias("a").join(few.alias("b"), "key").where(alike).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    pairs = few.alias("a").join(few.alias("b"), "key").where(f"a.node < b.node AND a.part <> b.part AND {_alike(similarity)}").select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     pairs = saved(pairs, "near-pairs")
 
     def alone(table: pa.Table) -> pa.Table:
         prints = np.stack([table.column(f).to_numpy() for f in _PRINT], axis=1)
-        return table.filter(pa.array(has_near(prints, table.column("n").to_numpy(), similarity)))
+        return table.filter(pa.array(has_near(prints, table.column("n").to_numpy(), similarity, table.column("part").to_numpy())))
 
     # Most texts of a crowded key have only a line in common: their sets need not travel.
-    crowd = shared.where(F.col("count") > crowded).select("key", "node", "n", *_PRINT)
+    crowd = shared.where(F.col("count") > crowded).select("key", "node", "n", *_PRINT, "part")
     dense = saved(crowd.groupBy("key").applyInArrow(alone, crowd.schema), "near-dense")
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(dense.select("node")).distinct()
+    wanted = _ends(pairs).union(dense.select("node")).distinct().join(first.select("node"), "node", "left_anti")
     # a text of each wanted set
-    chosen = shared.groupBy("node").agg(F.min("tx").alias("tx")).join(wanted, "node", "left_semi")
-    sets = saved(_sets(docs, saved(chosen, "near-chosen"), text_col, shingle), "near-sets")
-    both = F.size(F.array_intersect("x", "y"))
-    verified = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
-    verified = verified.withColumn("both", both).where(F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both")) - 1e-9).select("u", "v")
+    chosen = saved(prints.select("tx", "node").join(wanted, "node", "left_semi"), "near-chosen")
+    sets = first.union(saved(_sets(docs, chosen, text_col, shingle), "near-sets"))
 
     def run(table: pa.Table) -> pa.Table:
         prints = np.stack([table.column(f).to_numpy() for f in _PRINT], axis=1)
         sets = [s.values.to_numpy() for s in table.column("shingles")]
-        found = group_links(table.column("node").to_numpy(), prints, sets, similarity)
+        found = group_links(table.column("node").to_numpy(), prints, sets, similarity, table.column("part").to_numpy())
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
-    return verified.union(dense.join(sets, "node").groupBy("key").applyInArrow(run, "u long, v long"))
+    return _verified(pairs, sets, similarity).union(dense.join(sets, "node").groupBy("key").applyInArrow(run, "u long, v long"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowded: int = CROWDED) -> DataFrame:

@@ -131,6 +131,24 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(keys)
 
 
+def wide_keys(words: np.ndarray, exact: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of all different keys of fingerprints of several words, an array (n, words).
+
+    At every 16th bit of a word: `exact` bits without error and the codeword indices of the next 23, in a circle.
+    """
+    places, keys = [], []
+    for w in range(words.shape[1]):
+        for at in range(0, 64, 16):
+            turned = words[:, w] >> np.uint64(at) | words[:, w] << np.uint64(-at % 64)
+            same = (turned & np.uint64((1 << exact) - 1)).astype(np.int64)
+            near = np.sort(golay_keys(turned >> np.uint64(exact) & np.uint64((1 << 23) - 1)), axis=1)
+            fresh = np.concatenate([np.ones((len(words), 1), bool), near[:, 1:] != near[:, :-1]], axis=1)
+            place, _ = np.nonzero(fresh)
+            places.append(place)
+            keys.append((np.int64(w * 4 + at // 16) << 52) | (same[place] << 12) | near[fresh])
+    return np.concatenate(places), np.concatenate(keys)
+
+
 def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """(u, v) pairs of fingerprints at two or fewer bits, enough to connect all that are; `distinct` has a column fp."""
 

@@ -7,9 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute import LOWER, SPACE_WORD, components
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clausemill.llm import nearcopies
+from clausemill.llm import nearcopies, simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -86,3 +87,55 @@ def test_groups_connect_what_is_near():
     prints = np.stack([nearcopies.fingerprint(s.view(np.uint64)) for s in sets]).view(np.int64)
     want = components(range(len(texts)), [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))])
     assert components(range(len(texts)), nearcopies.group_links(np.arange(len(texts)), prints, sets, 0.8)) == want
+
+
+def test_golay_keys_of_fingerprints_link_near_copies(spark):
+    """Without keys of the exact way: most near copies are linked by SimHash, and nothing that is not similar."""
+    rng = random.Random(7)
+    texts = []
+    for n in (60, 200, 400):
+        for _ in range(4):
+            base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+            texts += [" ".join(base), *[near(rng, base, x) for x in (0.005, 0.01, 0.015, 0.05)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sketches = nearcopies._sketches(df, "doc_id", "text", 5, 0.8)
+    node = {r["id"]: r["node"] for r in sketches.collect()}
+    sets = {node[i]: grams(t) for i, t in enumerate(texts)}
+    similar = {frozenset((a, b)) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    links = lambda s: [(r["u"], r["v"]) for r in nearcopies.links(df, s, "text", 5, 0.8, 64).collect()]
+    want = components(sorted(sets), [tuple(p) for p in similar])
+    got = components(sorted(sets), links(sketches.withColumn("keys", F.array().cast("array<long>"))))
+    assert all(want[a] == want[b] for a, b in got.items())
+    joined = len(sets) - len(set(want.values()))
+    assert joined >= 15 and len(sets) - len(set(got.values())) >= 0.8 * joined
+    assert components(sorted(sets), links(sketches)) == want
+
+
+def test_golay_pairs_are_a_star_for_each_key(spark):
+    """A group of equal fingerprints makes a row for each member, not one for each pair."""
+    prints = spark.createDataFrame([(i, 5, 6, 7, 8) for i in range(300)], "node long, f0 long, f1 long, f2 long, f3 long")
+    assert sorted((r["u"], r["v"]) for r in nearcopies.golay_pairs(prints).collect()) == [(0, i) for i in range(1, 300)]
+
+
+def test_wide_keys_meet_at_errors_in_one_segment():
+    rng = random.Random(8)
+    for _ in range(50):
+        x = [rng.getrandbits(64) for _ in range(4)]
+        w, at = rng.randrange(4), 16 * rng.randrange(4)
+        y = [v ^ rng.getrandbits(64) for v in x]  # all else differs
+        same = sum(1 << (at + i) % 64 for i in range(39))
+        y[w] = (y[w] & ~same) | (x[w] & same)
+        for i in rng.sample(range(16, 39), 2):
+            y[w] ^= 1 << (at + i) % 64
+        place, key = simhash.wide_keys(np.array([x, y], np.uint64))
+        assert set(key[place == 0].tolist()) & set(key[place == 1].tolist())
+
+
+def test_sets_of_one_part_are_not_linked_again():
+    texts = [" ".join(f"w{i}" for i in range(100) if i != gap) for gap in range(95, 100)]
+    sets = [s.view(np.int64) for s in nearcopies.shingles_of(pa.array(texts))]
+    prints = np.stack([nearcopies.fingerprint(s.view(np.uint64)) for s in sets]).view(np.int64)
+    part = np.array([7, 7, 7, -1, -1])
+    assert len(nearcopies.group_links(np.arange(5), prints, sets, 0.8, part)) == 1
+    assert nearcopies.has_near(prints, np.array([len(s) for s in sets]), 0.8, part).all()
+    assert not nearcopies.has_near(prints, np.array([len(s) for s in sets]), 0.8, np.zeros(5, np.int64)).any()
