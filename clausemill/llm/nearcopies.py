@@ -6,9 +6,14 @@ a SimHash fingerprint of 256 bits, of which similar sets differ in 39 on average
 
 First texts meet by the Golay keys of their fingerprints (`simhash.wide_keys`): each is paired with the first text of each
 of its keys, pairs are verified, and texts linked to the same first one are a part. Keys miss some pairs, so an exact way
-follows for the rest: of two sets of similarity s each shares one of its first n - ceil(s n) + 1 hashes, in the order of the
+follows for the rest: of two sets of similarity s each shares one of its first n - ceil(s n) + 1 hashes, in one order of all
 hashes, with the other (prefix filter). Texts of different parts with such a hash in common are compared in the same manner.
 
+Which order is taken does not change the result, only how many texts meet. Common hashes come last, those of most texts
+behind all others: a line that many texts have is then a key of a text only if four fifths of its hashes are as common.
+In the order of the hashes alone every shared line is a crowded key, whose work grows with the square of its texts. Which
+hashes are common is counted in the texts of one in `SHARE` values of their hash; every text has its keys either way.
+
 Hashes of few texts are joined in pairs. Texts of a crowded hash are linked in one task, where a text is compared only with
 texts of other components, those in the middle of the group first.
 
@@ -33,6 +38,8 @@ from clausemill.llm.simhash import one_row, ones, wide_keys
 from clausemill.llm.tokens import NOT_SPACE, mixed, pieces, powers, words
 
 CROWDED, SMALL, RADIUS = 64, 32, 80
+#: One in so many texts is counted for common shingles; those of `LEAST` counted texts or more are common, `MOST` at most.
+SHARE, LEAST, MOST = 16, 8, 100_000
 _STEP = 0x8CB92BA72F3D8DD7
 _PARTS = tuple(np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _PRINT = ("f0", "f1", "f2", "f3")
@@ -54,9 +61,40 @@ def shingles_of(texts: pa.Array, size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def keys_of(shingles: np.ndarray, similarity: float) -> np.ndarray:
+class Common:
+    """Common hashes and their places in the order, from 1 on; all others have place 0."""
+
+    def __init__(self, hashes: np.ndarray = np.zeros(0, np.uint64)):
+        order = np.argsort(hashes)
+        self.hashes, self.place = hashes[order], order + 1
+
+    def places(self, shingles: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(shingles), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == shingles, self.place[at], 0)
+
+
+def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> Common:
+    """The shingles that many texts have, those of most texts last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text_col):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles_of(part.column(text_col), shingle)).view(np.int64))], names=["hash"])
+
+    texts = docs.select(text_col, F.xxhash64(text_col).alias("_tx")).where(f"pmod(_tx, {SHARE}) = 0").dropDuplicates(["_tx"]).select(text_col)
+    counted = map_arrow(texts, run, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+    found = counted.orderBy(F.desc("n"), "hash").limit(MOST).toArrow()
+    return Common(found.column("hash").to_numpy()[::-1].copy().view(np.uint64))
+
+
+def keys_of(shingles: np.ndarray, similarity: float, common: Common = Common()) -> np.ndarray:
     n = len(shingles)
-    return shingles[: n - math.ceil(similarity * n - 1e-9) + 1 if n else 0]
+    first = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+    if not common.places(shingles[:first]).any():
+        return shingles[:first]
+    return shingles[np.argsort(common.places(shingles), kind="stable")[:first]]
 
 
 def fingerprint(shingles: np.ndarray) -> np.ndarray:
@@ -64,16 +102,38 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits(2 * ones(mixed(shingles ^ p)) > len(shingles), bitorder="little").view("<u8") for p in _PARTS])
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """`fingerprint` of each set, all at once: an array (n, 4)."""
+    out, size = np.zeros((len(sets), len(_PARTS)), np.uint64), np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out
+    flat, size = np.concatenate([sets[i] for i in full.tolist()]), size[full]
+    # Bytes count up to 255 hashes each: eight bits of every byte of the hashes, one after the other.
+    runs = -(-size // 255)
+    first = np.concatenate([[0], np.cumsum(runs)[:-1]])
+    nth = np.arange(runs.sum()) - np.repeat(first, runs)
+    starts = np.repeat(np.cumsum(size) - size, runs) + 255 * nth
+    for j, p in enumerate(_PARTS):
+        h, more = mixed(flat ^ p), np.zeros((len(full), 8, 8), bool)
+        for bit in range(8):
+            lanes = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(0x0101010101010101), starts)
+            total = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64)
+            more[:, :, bit] = 2 * total > size[:, None]
+        out[full, j] = np.packbits(more.reshape(len(full), 64), axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, common: Common = Common()) -> DataFrame:
     """(id, tx, node, n, f0..f3, keys), a row for each row of docs; tx hashes the text, node the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text_col):
                 sets = shingles_of(part.column(text_col), shingle)
-                prints = np.stack([fingerprint(s) for s in sets]).view(np.int64)
+                prints = fingerprints(sets).view(np.int64)
                 node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                keys = pa.array([keys_of(s, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
+                keys = pa.array([keys_of(s, similarity, common).view(np.int64) for s in sets], pa.list_(pa.int64()))
                 columns = [part.column(id_col), part.column("_tx"), pa.array(node), pa.array(list(map(len, sets)), pa.int32()), *[pa.array(prints[:, j]) for j in range(4)], keys]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "tx", "node", "n", *_PRINT, "keys"])
 
@@ -111,12 +171,22 @@ def _sets(docs: DataFrame, chosen: DataFrame, text_col: str, shingle: int) -> Da
 
 def has_near(prints: np.ndarray, size: np.ndarray, similarity: float, part: np.ndarray) -> np.ndarray:
     """Which sets have one of another part in the group that size and fingerprint do not rule out."""
-    prints, out = prints.view(np.uint64), np.zeros(len(size), bool)
+    out = np.zeros(len(size), bool)
     if (part == part[0]).all():
         return out
-    for p in range(len(size)):
-        out[p] = (_near(prints, size, p, similarity) & (part != part[p])).any()
-    return out
+    order = np.argsort(size, kind="stable")
+    prints, size, part = prints.view(np.uint64)[order], size[order], part[order]
+    # Each is compared with those behind it, up to the largest size that may be similar and one more.
+    to = np.searchsorted(size, size / similarity + 1, side="right").tolist()
+    for p in range(len(size) - 1):
+        at = slice(p, to[p])
+        found = _near(prints[at], size[at], 0, similarity) & (part[at] != part[p])
+        if found.any():
+            out[p] = True
+            out[at] |= found
+    back = np.zeros(len(size), bool)
+    back[order] = out
+    return back
 
 
 def _near(prints: np.ndarray, size: np.ndarray, p: int, similarity: float) -> np.ndarray:
@@ -225,7 +295,7 @@ def _rest(docs: DataFrame, sketches: DataFrame, prints: DataFrame, parts: DataFr
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, crowded: int = CROWDED) -> DataFrame:
     """One row of docs, all columns, for each component of texts linked at `similarity`: that with the smallest id."""
-    sketches = saved(_sketches(docs, id_col, text_col, shingle, similarity), "near-sketches")
+    sketches = saved(_sketches(docs, id_col, text_col, shingle, similarity, common_shingles(docs, text_col, shingle)), "near-sketches")
     with scratch(docs.sparkSession) as s:
         joined = components(links(docs, sketches, text_col, shingle, similarity, crowded), "near-components")
         s.keep(joined)

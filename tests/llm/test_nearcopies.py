@@ -139,3 +139,26 @@ def test_sets_of_one_part_are_not_linked_again():
     assert len(nearcopies.group_links(np.arange(5), prints, sets, 0.8, part)) == 1
     assert nearcopies.has_near(prints, np.array([len(s) for s in sets]), 0.8, part).all()
     assert not nearcopies.has_near(prints, np.array([len(s) for s in sets]), 0.8, np.zeros(5, np.int64)).any()
+
+
+def test_common_lines_are_no_crowded_keys(spark, monkeypatch):
+    """Texts that share a line, and no more, do not all meet in its keys; near copies among them are found all the same."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    line = [word() for _ in range(40)]
+    texts = [[word() for _ in range(rng.randint(20, 50))] + line + [word() for _ in range(rng.randint(5, 20))] for _ in range(480)]
+    texts += [near(rng, t, 0.025).split() for t in texts[::8]] + [line, line[1:], line[:-2]]
+    rows = list(enumerate(map(" ".join, texts)))
+    tables, saved = {}, nearcopies.saved
+    monkeypatch.setattr(nearcopies, "saved", lambda df, name: tables.setdefault(name, saved(df, name)))
+    found = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    crowds = tables["near-sketches"].select(F.explode("keys").alias("key")).groupBy("key").count()
+    assert crowds.agg(F.max("count")).collect()[0][0] < 64
+    assert {r["doc_id"] for r in found.collect()} == kept(rows)
+
+
+def test_fingerprints_at_once_are_those_of_each():
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for n in (0, 1, 2, 254, 255, 256, 510, 511, 0, 3000, 7)]
+    assert np.array_equal(nearcopies.fingerprints(sets), np.stack([nearcopies.fingerprint(s) for s in sets]))
+    assert nearcopies.fingerprints([]).shape == (0, 4) and not nearcopies.fingerprints(sets[:1]).any()
