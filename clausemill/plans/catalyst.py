@@ -1,7 +1,9 @@
 """The rules compiled into column expressions: pieces, one window pass, a filter. No Python runs on executors.
 
-A text is split after every special character. One window by row gives each piece its place, its context (pieces have a
-character at least, so 32 on each side hold all that a rule may read) and, by running sums, depths and parities. Rows are
+A text is split after every special character. The pieces get their context as an array, before rows are made of them (pieces
+have a character at least, so 32 on each side hold all that a rule may read): each is put together with the one beside it,
+then with the two, four, eight and sixteen beside those. One window by row gives each piece its place and, by running sums,
+depths and parities. Rows are
 numbered and dealt by their numbers before they are split: one exchange of whole texts, none of pieces, and rows that share
 their keys are texts of their own.
 """
@@ -9,6 +11,7 @@ their keys are texts of their own.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +47,7 @@ def judge(rules: Rules, left: Column, c: Column, right: Column) -> Column:
     config = rules.config
     upto = F.concat(left, c)
     near = F.left(right, F.lit(NEAR))
-    ends = lambda words: upto.rlike(f"{one_of(words)}\\z") if words else F.lit(False)
+    ends = lambda words: _any([upto.endswith(w) for w in words])
     goes_on = _any([(upto.endswith(a) if a else F.lit(True)) & right.startswith(b) for a, b in rules.run_continues])
     first = F.regexp_extract(near, r"\p{IsAlphabetic}", 0)
     ellipsis = F.lit(config.ellipsis.treat_as_boundary)
@@ -56,7 +59,7 @@ def judge(rules: Rules, left: Column, c: Column, right: Column) -> Column:
     for e in reversed(config.ellipsis.exceptions):
         ellipsis = F.when(piece.rlike(f"(?U){e.regex}"), F.lit(e.boundary)).otherwise(ellipsis)
     a = CLASSES["alpha"]
-    initials = F.right(left, F.lit(NEAR)).rlike(rf"(?:\A|[^{a}]){a}{{1,2}}\z") & near.rlike(rf"\A\p{{IsWhite_Space}}*{a}{{1,2}}\.")
+    initials = near.rlike(rf"\A\p{{IsWhite_Space}}*{a}{{1,2}}\.") & F.right(left, F.lit(NEAR)).rlike(rf"(?:\A|[^{a}]){a}{{1,2}}\z")
     dot = c == "."
     word = F.regexp_extract(near, rf"\A\p{{IsWhite_Space}}*({a}+)", 1)
     space = F.lit(True) if not rules.starter_space else near.rlike(rf"\A\p{{IsWhite_Space}}*{a}+\p{{IsWhite_Space}}")
@@ -79,10 +82,24 @@ def _abbreviated(rules: Rules, left: Column) -> Column:
     """The longest abbreviation at the end of `left` begins a word; a shorter one does not stand in for it."""
     if not rules.abbreviations:
         return F.lit(False)
-    words = sorted(rules.abbreviations, key=lambda w: (-len(w), w))
-    found = F.regexp_extract(F.lower(F.right(left, F.lit(ABBREVIATION))), f"{one_of(words)}\\z", 0)
-    before = F.left(F.right(left, F.length(found) + 1), F.length(F.right(left, F.length(found) + 1)) - F.length(found))
-    return (found != "") & ~before.rlike(CLASSES["alnum"])
+
+    def longest(lowered: Column) -> Column:
+        found = F.lit("")
+        for n in sorted({len(w) for w in rules.abbreviations}):
+            end = F.right(lowered, F.lit(n))
+            found = F.when(end.isin(*sorted(w for w in rules.abbreviations if len(w) == n)), end).otherwise(found)
+        return found
+
+    def begins_a_word(found: Column) -> Column:
+        before = F.left(F.right(left, F.length(found) + 1), F.length(F.right(left, F.length(found) + 1)) - F.length(found))
+        return (found != "") & ~before.rlike(CLASSES["alnum"])
+
+    return _let(_let(F.lower(F.right(left, F.lit(ABBREVIATION))), longest), begins_a_word)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
 def _bytes_back(text: Column, size: int = SLICE_BYTES) -> Column:
@@ -119,23 +136,40 @@ def suppressed(rules: Rules, left: Column, c: Column, right: Column) -> Column:
     return _any(tests)
 
 
+def _apart(rule: Callable[..., Column], rules: Rules, *columns: Column) -> Column:
+    """The rule of the columns in a lambda, which is evaluated as a tree: as generated code it is a method too long for the JVM
+    to compile, and runs many times slower."""
+    row = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(columns)])
+    return _let(row, lambda e: rule(rules, *[e[f"_{i}"] for i in range(len(columns))]))
+
+
+def _with_context(df: DataFrame) -> DataFrame:
+    """df with, for each of _pieces, the last 32 characters up to its end (_upto) and the first 32 behind it (_right)."""
+    reach = F.lit(REACH)
+    df = df.withColumn("_upto", F.transform("_pieces", lambda x: F.right(x, reach))).withColumn("_right", F.transform("_pieces", lambda x: F.left(x, reach)))
+    beside = lambda name, at: F.coalesce(F.get(F.col(name), at), F.lit(""))
+    for step in (1 << i for i in range((REACH - 1).bit_length())):
+        back = F.transform("_upto", lambda x, i: F.right(F.concat(beside("_upto", i - step), x), reach))  # noqa: B023
+        ahead = F.transform("_right", lambda x, i: F.left(F.concat(x, beside("_right", i + step)), reach))  # noqa: B023
+        df = df.withColumns({"_upto": back, "_right": ahead})
+    return df.withColumn("_right", F.transform("_right", lambda x, i: beside("_right", i + 1)))
+
+
 def events(df: DataFrame, keys: list[str], language: str | LanguageConfig = "en", text_col: str = "text") -> DataFrame:
     """keys, _row, k, piece, end_char, end_byte, c, is_boundary: a row for each piece of each text."""
     rules = Rules.of(language)
     dealt = df.select(*keys, text_col, F.monotonically_increasing_id().alias("_row")).repartition("_row")
-    pieces = dealt.select(*keys, "_row", F.posexplode(F.split(text_col, f"(?<={special_class(rules)})", -1)).alias("k", "piece")).where("piece <> ''")
-    run = Window.partitionBy("_row").orderBy("k")
-    so_far = run.rowsBetween(Window.unboundedPreceding, 0)
-    join = lambda col, a, b: F.array_join(F.collect_list(col).over(run.rowsBetween(a, b)), "")
+    cut = _with_context(dealt.select(*keys, "_row", F.split(text_col, f"(?<={special_class(rules)})", -1).alias("_pieces")))
+    pieces = cut.select(*keys, "_row", F.posexplode(F.arrays_zip("_pieces", "_upto", "_right")).alias("k", "p"))
+    pieces = pieces.select(*keys, "_row", "k", F.col("p._pieces").alias("piece"), F.col("p._upto").alias("upto"), F.col("p._right").alias("right")).where("piece <> ''")
+    so_far = Window.partitionBy("_row").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     seen = pieces.select(
-        *keys, "_row", "k", "piece",
+        *keys, "_row", "k", "piece", "upto", "right",
         F.sum(F.length("piece")).over(so_far).alias("end_char"), F.sum(F.octet_length("piece")).over(so_far).alias("end_byte"),
-        F.right(join(F.right("piece", F.lit(REACH)), -(REACH - 1), 0), F.lit(REACH)).alias("upto"), F.left(join(F.left("piece", F.lit(REACH)), 1, REACH), F.lit(REACH)).alias("right"),
     ).withColumn("c", F.right("piece", F.lit(1))).withColumn("left", F.left("upto", F.length("upto") - 1))
     left, c, right = F.col("left"), F.col("c"), F.col("right")
     if rules.enclosures:
-        real = c.isin(*sorted(rules.enclosures)) & ~suppressed(rules, left, c, right)
-        seen = seen.withColumn("real", F.when(c.isin(*sorted(rules.enclosures)), real).otherwise(False))
+        seen = seen.withColumn("real", F.when(c.isin(*sorted(rules.enclosures)), ~_apart(suppressed, rules, left, c, right)).otherwise(False))
         opens = F.lit(True)
         for slot in range(rules.n_depths):
             step = F.lit(0)
@@ -152,7 +186,7 @@ def events(df: DataFrame, keys: list[str], language: str | LanguageConfig = "en"
         seen = seen.withColumn("outside", opens)
     else:
         seen = seen.withColumn("outside", F.lit(True))
-    boundary = F.when(c.isin(*sorted(rules.judged)) & F.col("outside"), judge(rules, left, c, right)).otherwise(False)
+    boundary = F.when(c.isin(*sorted(rules.judged)) & F.col("outside"), _apart(judge, rules, left, c, right)).otherwise(False)
     return seen.select(*keys, "_row", "k", "piece", "end_char", "end_byte", "c", boundary.alias("is_boundary"))
 
 

@@ -138,3 +138,17 @@ def test_catalyst_form_moves_whole_texts_once(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = catalyst.sentences(df, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" in plan.partition("Exchange")[0]
+
+
+def test_catalyst_form_has_one_frame_of_rows_and_short_searches(spark):
+    """Contexts are made before rows: no window looks at 32 rows for each, and no pattern tries every abbreviation at every place."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = catalyst.sentences(df, ["doc_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RowFrame, -31" not in plan and "specifiedwindowframe(RowFrame, 1, 32" not in plan and "|etc|" not in plan
+
+
+def test_catalyst_context_reaches_over_many_short_pieces(spark):
+    texts = ["." * n + "(" * k + "a. b" for n in (0, 1, 31, 32, 33, 64) for k in (0, 1, 33)] + ["um" + "." * 40 + " x", "é" * 31 + "." + "!" * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    cuts = ("id", "char_offset", "offset")
+    assert rows(catalyst.boundaries(df, ["id"]), *cuts) == rows(segment.boundaries(df, ["id"]), *cuts)
